@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ()
+MODULES = ("p2_near_duplicates",)
 
 
 def catalogue() -> list:
