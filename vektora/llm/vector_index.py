@@ -87,7 +87,7 @@ def neighbours(u: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     for i in range(0, len(u), CHUNK):
         s = u[i : i + CHUNK] @ u.T
         s[np.arange(len(s)), np.arange(i, i + len(s))] = -2
-        at = np.argpartition(-s, k - 1, axis=1)[:, :k] if k else np.zeros((len(s), 0), np.int64)
+        at = np.argpartition(-s, k - 1, axis=1)[:, :k].copy() if k else np.zeros((len(s), 0), np.int64)  # a view would keep the whole
         near.append(at)
         sims.append(np.take_along_axis(s, at, 1))
     return np.vstack(near), np.vstack(sims)
