@@ -35,7 +35,7 @@ def per_query(ranking: DataFrame, qrels: DataFrame, by: Sequence[str] = ("scheme
 
     ranking: (by..., query_id, doc_id, rank from 1); qrels: distinct positive (query_id, corpus_id, score)."""
     top = max([*ks, recall])
-    hits = ranking.filter(F.col("rank") <= top).join(qrels.withColumnRenamed("corpus_id", "doc_id"), ["query_id", "doc_id"], "left")
+    hits = ranking.filter(F.col("rank") <= top).select(*by, "query_id", "doc_id", "rank").join(qrels.withColumnRenamed("corpus_id", "doc_id"), ["query_id", "doc_id"], "left")
     dcg = [F.coalesce(F.sum(F.when(F.col("rank") <= k, _gain("rank"))), F.lit(0.0)).alias(f"dcg{k}") for k in ks]
     found = F.sum(F.when((F.col("rank") <= recall) & F.col("score").isNotNull(), 1).otherwise(0)).alias("found")
     got = hits.groupBy(*by, "query_id").agg(*dcg, found).join(ideal(qrels, ks), "query_id")
