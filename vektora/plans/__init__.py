@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that hold QUERIES and ORACLES.
-MODULES = ("p1_references", "vector_queries", "retrieval_queries")
+MODULES = ("p1_references", "vector_queries", "retrieval_queries", "record_queries")
 
 
 def catalogue() -> list:
