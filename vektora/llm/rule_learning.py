@@ -78,6 +78,7 @@ def learn(x: np.ndarray, kind: np.ndarray, features: tuple[str, ...], order: lis
             m = covers(x[q], rule)
             if not rule or not m.any() or (kind[q][m] == name).mean() <= 0.5:
                 break
-            rules.append({"if": [[features[j], op, round(t, 6)] for j, op, t in rule], "kind": name})
+            tight = {(j, op): t for j, op, t in rule}  # a later condition on the same side is the tighter one
+            rules.append({"if": [[features[j], op, round(t, 6)] for (j, op), t in tight.items()], "kind": name})
             left[at[covers(x[at], rule)]] = False
     return rules

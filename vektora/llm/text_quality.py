@@ -14,6 +14,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vektora.session import spread
+
 RULES = Path(__file__).with_name("quality_rules.json")
 KINDS = ("junk", "table", "list")
 #: Fixed patterns.
@@ -22,9 +24,11 @@ INTRODUCTION = r"^\s*[^\n.!?:。！？]{1,400}([.!?:]+[\"'”’»)]*[ \t]*\n?|[
 LINE_END = r"[.!?…。！？:;][\"'”’»)\]]*\s*$"
 SENTENCE_END = r"[.!?…][\"'”’»)\]]*(\s|$)|[。！？]"
 MARKUP = r"<[^<>]{0,80}>|&[A-Za-z]{2,8};|&#\d+;|\{\{|\}\}|\[\[|\]\]|\b[a-z]+=\"[^\"]{0,40}\"|\b\d+px"
-DAMAGE = r"[^�¤¶™€âÂÃ]+"
+MARKUP_SIGN = r"[<&{\[=]|px"
+DAMAGE = "�¤¶™€âÂÃ"
+VOWELS = "iouyäöüáéíóúàèùâêîôûøå"
 BULLET = r"^\s*([-+*–•·]|\[[ xX]?\]|\[\d+\]|\(?\d{1,3}[.)])\s"
-CODED = r"[A-Za-z0-9+/=_-]{32,}"
+CODED = r"^[A-Za-z0-9+/=_-]{32,}$"
 DELIMITER = r"\t|\||;|,(?!\s\w+\s\w+)| {2,}|</td>|="
 ITEM_BREAK = r"[;,·•|/](\s|$)"
 PHRASE_BREAK = r"[.!?…。！？]+|\n|\s>>\s"
@@ -39,6 +43,11 @@ def _kept(c: Column, drop: str) -> Column:
     return _len(F.regexp_replace(c, drop, ""))
 
 
+def _among(c: Column, characters: str) -> Column:
+    """Number of characters that are among the given ones."""
+    return _len(c) - _len(F.translate(c, characters, ""))
+
+
 def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.round(part / whole, 4)).otherwise(F.lit(0.0))
 
@@ -75,23 +84,26 @@ def statistics(documents: DataFrame, key: str, text: str, lang: str, common: dic
     other = sorted({w for k, v in common.items() if k not in spaced for w in v}, key=lambda w: (-len(w), w))
     words_of = sorted({w for v in spaced.values() for w in v}) or [""]
     particles = "|".join(other) or "(?!)"
-    d = documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("t"), language(F.col(f"`{lang}`"), known).alias("lang"))
+    d = spread(documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("lang"))).withColumn("lang", language(F.col("lang"), known))
     body = F.regexp_replace("t", INTRODUCTION, "")
-    d = d.withColumn("b", F.when(_kept(body, SPACE) >= F.greatest(F.lit(20.0), _len(F.col("t")) * 0.2), body).otherwise(F.col("t")))
+    d = d.withColumn("b", F.when(_len(F.trim(body)) >= F.greatest(F.lit(20.0), _len(F.col("t")) * 0.2), body).otherwise(F.col("t")))
 
     def parts(c: str, p: str) -> dict[str, Column]:
         x = F.col(c)
         return {
-            f"{p}chars": _kept(x, SPACE),
-            f"{p}letters": _kept(x, r"\P{L}+"),
             f"{p}digit": _kept(x, r"\P{Nd}+"),
             f"{p}tokens": F.filter(F.split(x, SPACE), lambda w: w != ""),
-            f"{p}names": F.regexp_extract_all(F.lower(x), F.lit(r"(\p{L}+)"), 1),
             f"{p}rows": F.filter(F.split(x, r"[\r\n]+"), lambda w: w.rlike(r"[^\s\p{Z}\p{Cf}]")),
             f"{p}kana": _kept(x, r"[^぀-ヿ一-鿿]+"),
         }
 
-    d = d.withColumns(parts("t", "w_") | parts("b", "b_"))
+    names = lambda x: F.regexp_extract_all(F.lower(x), F.lit(r"(\p{L}+)"), 1)
+    # the body's words are the last ones of the text, as what is left off ends between words
+    head = F.expr("left(t, length(t) - length(b))")
+    d = d.withColumns(parts("t", "w_") | parts("b", "b_") | {"w_names": names(F.col("t")), "head": F.size(names(head))})
+    d = d.withColumns({"b_names": F.expr("slice(w_names, head + 1, size(w_names))")})
+    joined = lambda c: _len(F.array_join(c, ""))
+    d = d.withColumns({f"{p}chars": joined(f"{p}tokens") for p in ("w_", "b_")} | {f"{p}letters": joined(f"{p}names") for p in ("w_", "b_")})
     n = lambda c: F.size(c).cast("double")
     cnt = lambda c, f: F.size(F.filter(c, f)).cast("double")
     among = lambda v: lambda w: w.isin(v)
@@ -101,7 +113,7 @@ def statistics(documents: DataFrame, key: str, text: str, lang: str, common: dic
         in_lang = F.when(F.col("lang") == k, cnt("w_names", among(v))).otherwise(in_lang)
     in_any = cnt("w_names", among(words_of))
     share = F.when(F.col("w_kana") * 3 > F.col("w_letters"), unspaced("w_", "t")).otherwise(_share(F.coalesce(in_lang, in_any), n("w_names")))
-    d = d.withColumn("delims", F.transform("b_rows", lambda r: F.regexp_count(F.trim(r), F.lit(DELIMITER)))).withColumn("phrase_list", F.filter(F.transform(F.split(F.lower("b"), PHRASE_BREAK), lambda x: F.trim(F.regexp_replace(x, r"[^\p{L}\p{Nd}]+", " "))), lambda x: x != ""))
+    d = d.withColumn("delims", F.transform("b_rows", lambda r: F.regexp_count(F.trim(r), F.lit(DELIMITER)))).withColumn("phrase_list", F.filter(F.transform(F.split(F.lower("b"), PHRASE_BREAK), lambda x: F.trim(x)), lambda x: x.rlike(r"[\p{L}\p{Nd}]")))
     d = d.withColumn("usual", F.get(F.array_sort("delims"), F.floor(F.size("delims") / 2).cast("int")))
     words_in = lambda r: F.size(F.split(F.trim(r), r"\s+"))
     stats = {
@@ -123,10 +135,10 @@ def statistics(documents: DataFrame, key: str, text: str, lang: str, common: dic
         "distinct_phrases": _share(n(F.array_distinct("phrase_list")), n("phrase_list")),
         "phrases": n("phrase_list"),
         "single_letters": _share(cnt("b_tokens", lambda w: w.rlike(r"^\p{L}$")), n("b_tokens")),
-        "open_vowels": _share(_kept(F.lower("b"), "[^iouyäöüáéíóúàèùâêîôûøå]+"), F.col("b_letters")),
-        "coded": _share(_len(F.array_join(F.regexp_extract_all("b", F.lit(f"({CODED})"), 1), "")), F.col("b_chars")),
-        "markup": _share(F.col("b_chars") - _kept(F.regexp_replace("b", MARKUP, ""), SPACE), F.col("b_chars")),
-        "damage": _share(_kept(F.col("b"), DAMAGE), F.col("b_chars")),
+        "open_vowels": _share(_among(F.lower("b"), VOWELS), F.col("b_letters")),
+        "coded": _share(joined(F.filter("b_tokens", lambda w: (F.length(w) >= 32) & w.rlike(CODED))), F.col("b_chars")),
+        "markup": F.when(F.col("b").rlike(MARKUP_SIGN), _share(F.col("b_chars") - _kept(F.regexp_replace("b", MARKUP, ""), SPACE), F.col("b_chars"))).otherwise(F.lit(0.0)),
+        "damage": _share(_among(F.col("b"), DAMAGE), F.col("b_chars")),
         "lines": n("b_rows"),
         "line_words": _share(n("b_tokens"), n("b_rows")),
         "short_lines": _share(cnt("b_rows", lambda r: (words_in(r) <= 7) & ~r.rlike(SENTENCE_END)), n("b_rows")),
@@ -139,8 +151,9 @@ def statistics(documents: DataFrame, key: str, text: str, lang: str, common: dic
         "longest_line_words": F.coalesce(F.array_max(F.transform("b_rows", words_in)), F.lit(0)).cast("double"),
     }
     feats = {k: feats[k] for k in FEATURES}
-    out = d.select("key", *(F.when(F.col("t").isNotNull(), c).alias(k) for k, c in (stats | feats).items()))
-    return out.withColumnRenamed("key", key)
+    # a generator between the statistics and what uses them keeps the optimiser from working them out once per use
+    row = F.struct(*(F.when(F.col("t").isNotNull(), c).alias(k) for k, c in (stats | feats).items()))
+    return d.select("key", F.inline(F.array(row))).withColumnRenamed("key", key)
 
 
 def load_rules(path: Path = RULES) -> list[dict]:
