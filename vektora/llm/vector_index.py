@@ -201,9 +201,8 @@ def build(vectors: DataFrame, dim: int, recall: float, min_similarity: float | N
     """Index `vectors` (id, v). Ids with equal vectors form a class of which only the smallest id is indexed."""
     sc = vectors.sparkSession.sparkContext
     own = materialize(vectors, "vectors")
-    key = F.sha2(F.to_json(F.array("v")), 256)
-    tagged = own.df.withColumn("d", key)
-    members = materialize(tagged.select("id", F.min("id").over(_by("d")).alias("class_id")), "members")
+    tagged = own.df.select("id", F.xxhash64("v").alias("d"), F.xxhash64(F.lit(1), "v").alias("e"))  # 128 bits
+    members = materialize(tagged.join(tagged.groupBy("d", "e").agg(F.min("id").alias("class_id")), ["d", "e"]).select("id", "class_id"), "members")
     reps = own.df.join(members.df.filter("id = class_id").select("id"), "id", "left_semi")
     classes = materialize(reps.sort("id").withColumn("n", F.monotonically_increasing_id()), "classes")
     own.drop()
