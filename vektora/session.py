@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -93,10 +94,22 @@ def materialize(df: DataFrame, name: str = "t") -> Stored:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Make use of all cores where the input has fewer splits than there are cores.
+    """Make use of all cores where a scan has fewer splits than there are cores.
 
-    Meant for CPU-bound Python stages; inputs with enough splits are left alone."""
+    Meant for CPU-bound stages right after a scan; scans with enough splits, and plans that shuffle
+    anyway, are left alone."""
+    plan = df._jdf.queryExecution()
+    if re.search("Aggregate|Join|Window|Exchange|Sort|Repartition", plan.sparkPlan().toString()):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+    if plan.toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores * 2, *keys)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle by `keys` into partitions that aren't put together again, for CPU-bound stages behind it.
+
+    A grouping or join by the same keys needs no other shuffle."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *keys)
