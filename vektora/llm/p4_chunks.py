@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vektora.llm.chunking import split_oversized
+from vektora.session import dealt
 
 LIMIT, OVERLAP = 2000, 200
 
@@ -15,7 +16,7 @@ def composed(spark: SparkSession, sf: str) -> DataFrame:
     c = spark.read.parquet(f"{sf}/corpus.parquet")
     both = F.concat_ws("\n", F.expr("nullif(title, '')"), F.expr("nullif(text, '')"))
     long = c.select("_id", both.alias("composed")).filter((F.length("composed") > LIMIT) & F.col("_id").isNotNull())
-    return long.groupBy("_id").agg(F.min("composed").alias("composed"))
+    return dealt(long, "_id").groupBy("_id").agg(F.min("composed").alias("composed"))
 
 
 def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
