@@ -286,32 +286,46 @@ def best(rows: np.ndarray, others: np.ndarray, cos: np.ndarray, k: int) -> np.nd
 def nearest_in_block(table, dim: int, k: int, min_similarity: float | None):
     """(n, o, cos): the k best stored rows of every searching row and the k best searching rows of every stored one."""
     qn, qu, qf, mn, mu, mf = halves(table, dim)
-    found = []
-    held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # of the stored rows so far: stored place, searching place, cosine
-    floor = np.full(len(mn), (min_similarity if min_similarity is not None else -2.0) - SLACK, np.float32)
+    found, bounded = [], min_similarity is not None
+    least = (min_similarity if bounded else -2.0) - SLACK
+    # each stored row's best so far (stored place, searching place, cosine), and what came since they were last put in order
+    held, fresh = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), []
+    floor = np.full(len(mn), least, np.float32)
+    own = np.minimum(np.searchsorted(mn, qn), max(len(mn) - 1, 0))
+    itself = mn[own] == qn if len(mn) else np.zeros(len(qn), bool)
+
+    def settle():
+        nonlocal held, floor
+        new = tuple(np.concatenate(x) for x in zip(held, *fresh, strict=True))
+        fresh.clear()
+        at = best(new[0], qn[new[1]], new[2], k)
+        held = tuple(x[at] for x in new)
+        if not bounded:
+            full = np.bincount(held[0], minlength=len(mn)) >= k
+            kth = np.full(len(mn), np.inf)
+            np.minimum.at(kth, held[0], held[2])
+            floor = np.where(full, np.maximum(floor, kth - SLACK), floor).astype(np.float32)
+
     for i in range(0, len(qn), CHUNK) if len(mn) else ():
         s = qf[i : i + CHUNK] @ mf.T
-        np.putmask(s, qn[i : i + CHUNK, None] == mn[None, :], -3)
-        low = np.full((len(s), 1), (min_similarity if min_similarity is not None else -2.0) - SLACK, np.float32)
-        if min_similarity is None and s.shape[1] > k:
-            head = s[:, : max(2048, k)]
-            low = np.partition(head, -k, axis=1)[:, -k, None] - SLACK
+        me = np.nonzero(itself[i : i + CHUNK])[0]
+        s[me, own[i + me]] = -3
+        low = least
+        if not bounded and (runs := s.shape[1] // 64) >= k:  # the k-th best of the runs' maxima is at most the k-th best of all
+            low = np.partition(s[:, : runs * 64].reshape(len(s), 64, runs).max(axis=1), -k, axis=1)[:, -k, None] - SLACK
         r, c = np.divmod(np.flatnonzero(s >= low), s.shape[1])
         cos = cosines(qu[i : i + CHUNK], mu, r, c)
         at = best(r, mn[c], cos, k)
         found.append((qn[i + r[at]], mn[c[at]], cos[at]))
-        if min_similarity is None and i == 0 and len(s) > k:
-            floor = np.partition(s, -k, axis=0)[-k] - SLACK
-        r, c = np.divmod(np.flatnonzero(s >= floor[None, :]), s.shape[1]) if min_similarity is None else (r, c)
-        cos = cosines(qu[i : i + CHUNK], mu, r, c) if min_similarity is None else cos
-        held = tuple(np.concatenate(x) for x in zip(held, (c, i + r, cos), strict=True))
-        at = best(held[0], qn[held[1]], held[2], k)
-        held = tuple(x[at] for x in held)
-        if min_similarity is None:
-            full = np.bincount(held[0], minlength=len(mn)) >= k
-            kth = np.full(len(mn), np.inf)
-            np.minimum.at(kth, held[0], held[2])
-            floor = np.where(full, np.maximum(floor, kth - SLACK), floor).astype(np.float32)
+        if not bounded:
+            if i == 0 and len(s) > k:
+                floor = np.partition(s, -k, axis=0)[-k] - SLACK
+            r, c = np.divmod(np.flatnonzero(s >= floor[None, :]), s.shape[1])
+            cos = cosines(qu[i : i + CHUNK], mu, r, c)
+        fresh.append((c, i + r, cos))
+        if sum(len(x[0]) for x in fresh) > len(held[0]) + 10_000:
+            settle()
+    settle()
     found.append((mn[held[0]], qn[held[1]], held[2]))
     n, o, cos = (np.concatenate(x) for x in zip(*found, strict=True))
     if min_similarity is not None:
