@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vektora.llm.linkage import reciprocal_linkage, spanning
-from vektora.llm.p5_neighbours import DIM, vectors
+from vektora.llm.p5_neighbours import DIM, USABLE_SQL, vectors
 from vektora.llm.vector_index import CHUNK, SLACK, Index, build, cosines, halves
 
 LINK, LEAST_SIZE, RECALL, TYPICAL = 0.85, 3, 0.9995, 3
@@ -88,4 +88,11 @@ def p3_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_clusters": p3_clusters}
-ORACLES = {}
+#: All pairs and all ways through them: quick on the smaller tables only.
+ORACLES = {
+    "p3_found": f"""
+WITH RECURSIVE {USABLE_SQL},
+e AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id WHERE round(list_cosine_similarity(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])), 12) >= {LINK}),
+r AS (SELECT id, id AS other FROM v UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a)
+SELECT min(other) AS cluster_id, id AS member_id FROM r GROUP BY id HAVING count(*) >= {LEAST_SIZE}""",
+}

@@ -29,14 +29,14 @@ def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_neighbours": p5_neighbours}
-_USABLE = """
+USABLE_SQL = """
 v AS (SELECT ids AS id, min(vecs) AS v FROM (SELECT * FROM chunk_vecs WHERE split = 'corpus' AND len(vecs) = 64
   AND len(list_filter(vecs, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vecs, lambda x: x <> 0)) > 0)
   JOIN (SELECT DISTINCT * FROM chunk_ids WHERE ids IS NOT NULL) USING (dataset, split, chunk, pos) GROUP BY 1)"""
 #: Every pair of vectors is compared: quick on the smaller tables only.
 ORACLES = {
     "p5_found": f"""
-WITH {_USABLE},
+WITH {USABLE_SQL},
 c AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS c FROM v a JOIN v b ON a.id <> b.id),
 r AS (SELECT a, b FROM c WHERE c >= 0.85 QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(c, 12) DESC, b) <= 5)
 SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r""",
