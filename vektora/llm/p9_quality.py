@@ -20,5 +20,20 @@ def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return not_prose(stats(spark, sf)).select("doc_id", "n_words", "mean_word_length", "symbol_ratio", "ending_share", "common_share", "kind")
 
 
-QUERIES = {"p9_found": p9_found, "p9_statistics": p9_statistics}
-ORACLES = {}
+def p9_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The statistics that SQL can repeat."""
+    return stats(spark, sf).select("doc_id", "n_words", "mean_word_length", "symbol_ratio", "ending_share")
+
+
+_GAP = r"[\s\p{Z}\p{Cf}]"
+QUERIES = {"p9_found": p9_found, "p9_statistics": p9_statistics, "p9_counts": p9_counts}
+ORACLES = {
+    "p9_counts": rf"""
+WITH t AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{_GAP}+'), lambda x: x <> '') AS tokens,
+  list_filter(regexp_split_to_array(text, '[\r\n]+'), lambda x: regexp_matches(x, '[^\s\p{{Z}}\p{{Cf}}]')) AS rows FROM documents),
+n AS (SELECT *, list_sum(list_transform(tokens, lambda x: length(x))) AS chars, length(regexp_replace(text, '\P{{L}}+', '', 'g')) + length(regexp_replace(text, '\P{{Nd}}+', '', 'g')) AS plain FROM t)
+SELECT doc_id, CAST(len(tokens) AS INTEGER) AS n_words,
+  CASE WHEN text IS NULL THEN NULL WHEN len(tokens) > 0 THEN round(chars / len(tokens), 4) ELSE 0.0 END AS mean_word_length,
+  CASE WHEN text IS NULL THEN NULL WHEN chars > 0 THEN round((chars - plain) / chars, 4) ELSE 0.0 END AS symbol_ratio,
+  CASE WHEN text IS NULL THEN NULL WHEN len(rows) > 0 THEN round(len(list_filter(rows, lambda x: regexp_matches(x, '[.!?…。！？:;]["''”’»)\]]*\s*$'))) / len(rows), 4) ELSE 0.0 END AS ending_share FROM n""",
+}
