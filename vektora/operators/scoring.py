@@ -74,6 +74,44 @@ def topk(docs: DataFrame, queries: DataFrame, k: int, query_key: str | None = No
     return ranked(out, k, ["scheme", "query_id"])
 
 
+def truth_ranks(docs: DataFrame, queries: DataFrame, truth: DataFrame) -> DataFrame:
+    """(scheme, query_id, doc_id, rank) of the true documents (query_id, doc_id) among all documents, ids bigint.
+
+    The rank is 1 + the number of documents before the true one in the order of topk. Null vectors are
+    left out; a true document that isn't among the documents has no row."""
+    spark = docs.sparkSession
+    d = docs.filter("v is not null").select("scheme", F.col("id").cast("bigint").alias("id"), doubles(F.col("v")).alias("v"))
+    t = truth.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("doc_id").cast("bigint").alias("doc_id"))
+    q = queries.filter("v is not null").select(F.col("id").cast("bigint").alias("query_id"), doubles(F.col("v")).alias("qv")).join(t, "query_id")
+    total, out = q.count(), None
+    for start in range(0, max(total, 1), BLOCK):
+        part = q if total <= BLOCK else q.orderBy("query_id", "doc_id").offset(start).limit(BLOCK)
+        own = d.join(F.broadcast(part), F.col("id") == F.col("doc_id")).select("scheme", "query_id", "doc_id", "qv", dot(F.col("v"), F.col("qv")).alias("score"))
+        rows = own.toArrow()  # at most BLOCK rows a scheme
+        schemes, ids, right = np.array(rows["scheme"].to_pylist(), dtype=object), rows["query_id"].to_numpy(), rows["doc_id"].to_numpy()
+        m = np.asarray(rows["qv"].combine_chunks().flatten()).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
+        sent = spark.sparkContext.broadcast((schemes, ids, right, m, np.round(rows["score"].to_numpy(), 9)))
+
+        def run(batches, sent=sent):
+            import pyarrow as pa
+
+            schemes, ids, right, m, score = sent.value
+            for t in (t.slice(i, 1024) for t in batches for i in range(0, t.num_rows, 1024)):
+                if not len(ids):
+                    continue
+                of, doc = np.array(t.column("scheme").to_pylist(), dtype=object), t.column("id").to_numpy()
+                v = np.asarray(t.column("v").flatten()).reshape(t.num_rows, -1)
+                for s in np.unique(of):
+                    at, who = np.nonzero(of == s)[0], np.nonzero(schemes == s)[0]
+                    got, limit, true = np.round(m[who] @ v[at].T, 9), score[who, None], right[who, None]
+                    before = ((got > limit) & (doc[at] != true)) | ((got == limit) & (doc[at] < true))
+                    yield pa.RecordBatch.from_arrays([pa.array([s] * len(who), pa.string()), pa.array(ids[who]), pa.array(right[who]), pa.array(before.sum(axis=1))], names=["scheme", "query_id", "doc_id", "before"])
+
+        each = d.mapInArrow(run, "scheme string, query_id bigint, doc_id bigint, before bigint")
+        out = each if out is None else out.unionByName(each)
+    return out.groupBy("scheme", "query_id", "doc_id").agg((F.sum("before") + 1).alias("rank"))
+
+
 def merged(state: DataFrame, more: DataFrame, k: int) -> DataFrame:
     """The running top-k after `more` top-k rows: repeated (scheme, query, document) count once."""
     cols = ["scheme", "query_id", "doc_id", "score"]
