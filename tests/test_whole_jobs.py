@@ -3,7 +3,7 @@
 import numpy as np
 
 from vektora.operators import scoring
-from vektora.plans import retrieval_queries
+from vektora.plans import record_queries, retrieval_queries
 
 
 def test_true_ranks_beyond_the_ranking(spark, tmp_path):
@@ -24,3 +24,13 @@ def test_true_ranks_by_brute_force(spark, monkeypatch):
     truth = spark.createDataFrame([(i, int(t)) for i, t in enumerate(right)] + [(0, 1000)], "query_id bigint, doc_id bigint")
     got = {(r.query_id, r.doc_id): r["rank"] for r in scoring.truth_ranks(docs, queries, truth).collect()}
     assert got == {(i, t): int((np.round(q[i] @ m.T, 9) > round(q[i] @ m[t], 9)).sum()) + 1 for i, t in enumerate(right)}
+
+
+def test_subsets_of_the_usual_size(spark, tmp_path):
+    n = 40
+    spark.createDataFrame([("d", f"c{i}") for i in range(n)], "dataset string, _id string").write.parquet(f"{tmp_path}/corpus.parquet")
+    spark.createDataFrame([("d", f"q{i}") for i in range(9)], "dataset string, _id string").write.parquet(f"{tmp_path}/queries.parquet")
+    spark.createDataFrame([("d", f"q{i}", f"c{i}", 1) for i in range(9)], "dataset string, query_id string, corpus_id string, score int").write.parquet(f"{tmp_path}/qrels.parquet")
+    run = lambda name: record_queries.QUERIES[f"{name}_whole"](spark, str(tmp_path))
+    assert run("sample_queries_hash").count() == run("subset_qrels").count() == 9 and run("subset_corpus").count() == n
+    assert tuple(run("subset_build_info").first()) == ("d", 1000, 9, n, 9, n - 9, 9, 42) and run("build_info_json").first().n == 9

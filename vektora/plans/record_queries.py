@@ -129,50 +129,57 @@ def id_set_ops(spark, sf):
 
 
 _HASH = f"md5('{sampling.SEED}|' || {{}})"
-_SUBSET = f"""{POS}, drawn AS (SELECT dataset, query_id FROM (SELECT DISTINCT dataset, query_id FROM pos) QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY {_HASH.format('query_id')}, query_id) <= {N_QUERIES}),
+
+
+def _subset_sql(n_queries: int, n_distractors: int) -> str:
+    return f"""{POS}, drawn AS (SELECT dataset, query_id FROM (SELECT DISTINCT dataset, query_id FROM pos) QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY {_HASH.format('query_id')}, query_id) <= {n_queries}),
 docs AS (SELECT DISTINCT dataset, _id AS corpus_id FROM corpus),
 judged AS (SELECT p.* FROM pos p SEMI JOIN drawn d ON d.dataset = p.dataset AND d.query_id = p.query_id SEMI JOIN docs c ON c.dataset = p.dataset AND c.corpus_id = p.corpus_id),
 rel AS (SELECT DISTINCT dataset, corpus_id FROM judged),
-other AS (SELECT dataset, corpus_id FROM docs d WHERE NOT EXISTS (SELECT 1 FROM rel r WHERE r.dataset = d.dataset AND r.corpus_id = d.corpus_id) QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY {_HASH.format('corpus_id')}, corpus_id) <= {N_DISTRACTORS})"""
-
+other AS (SELECT dataset, corpus_id FROM docs d WHERE NOT EXISTS (SELECT 1 FROM rel r WHERE r.dataset = d.dataset AND r.corpus_id = d.corpus_id) QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY {_HASH.format('corpus_id')}, corpus_id) <= {n_distractors})"""
 
-def parts(spark, sf):
-    return sampling.subsets(table(spark, sf, "corpus"), table(spark, sf, "queries"), positive(spark, sf), N_QUERIES, N_DISTRACTORS)
 
+def subset_queries(suffix: str, n_queries: int, n_distractors: int) -> None:
+    """Register the subset's queries for one size, with their SQL."""
+    sub = _subset_sql(n_queries, n_distractors)
 
-@query("sample_queries_hash", f"WITH {_SUBSET} SELECT * FROM drawn")
-def sample_queries(spark, sf):
-    return sampling.first_by_hash(positive(spark, sf).select("dataset", "query_id").distinct(), ["dataset"], "query_id", N_QUERIES)
+    def parts(spark, sf):
+        return sampling.subsets(table(spark, sf, "corpus"), table(spark, sf, "queries"), positive(spark, sf), n_queries, n_distractors)
 
+    @query(f"sample_queries_hash{suffix}", f"WITH {sub} SELECT * FROM drawn")
+    def sample_queries(spark, sf):
+        return sampling.first_by_hash(positive(spark, sf).select("dataset", "query_id").distinct(), ["dataset"], "query_id", n_queries)
 
-@query("subset_corpus", f"WITH {_SUBSET} SELECT dataset, corpus_id, true AS relevant FROM rel UNION ALL SELECT dataset, corpus_id, false FROM other")
-def subset_corpus(spark, sf):
-    return parts(spark, sf)["corpus"]
+    @query(f"subset_corpus{suffix}", f"WITH {sub} SELECT dataset, corpus_id, true AS relevant FROM rel UNION ALL SELECT dataset, corpus_id, false FROM other")
+    def subset_corpus(spark, sf):
+        return parts(spark, sf)["corpus"]
 
+    @query(f"subset_qrels{suffix}", f"WITH {sub} SELECT dataset, query_id, corpus_id, score FROM judged")
+    def subset_qrels(spark, sf):
+        return parts(spark, sf)["qrels"].select("dataset", "query_id", "corpus_id", "score")
 
-@query("subset_qrels", f"WITH {_SUBSET} SELECT dataset, query_id, corpus_id, score FROM judged")
-def subset_qrels(spark, sf):
-    return parts(spark, sf)["qrels"].select("dataset", "query_id", "corpus_id", "score")
-
-
-@query(
-    "subset_build_info",
-    f"""WITH {_SUBSET}, k AS (SELECT dataset, count(*) AS corpus_written, sum(r) AS rel_docs, sum(1 - r) AS distractors FROM (SELECT dataset, 1 AS r FROM rel UNION ALL SELECT dataset, 0 FROM other) GROUP BY 1),
+    @query(
+        f"subset_build_info{suffix}",
+        f"""WITH {sub}, k AS (SELECT dataset, count(*) AS corpus_written, sum(r) AS rel_docs, sum(1 - r) AS distractors FROM (SELECT dataset, 1 AS r FROM rel UNION ALL SELECT dataset, 0 FROM other) GROUP BY 1),
 a AS (SELECT d.dataset, count(*) AS queries_written FROM drawn d SEMI JOIN queries q ON q.dataset = d.dataset AND q._id = d.query_id GROUP BY 1), j AS (SELECT dataset, count(*) AS qrels_rows FROM judged GROUP BY 1)
-SELECT dataset, {N_QUERIES} AS queries_requested, coalesce(queries_written, 0) AS queries_written, coalesce(corpus_written, 0) AS corpus_written, CAST(coalesce(rel_docs, 0) AS BIGINT) AS rel_docs, CAST(coalesce(distractors, 0) AS BIGINT) AS distractors, coalesce(qrels_rows, 0) AS qrels_rows, {sampling.SEED} AS seed FROM k FULL JOIN a USING (dataset) FULL JOIN j USING (dataset)""",
-)
-def subset_build_info(spark, sf):
-    return sampling.build_info(parts(spark, sf), N_QUERIES)
-
-
-@query(
-    "build_info_json",
-    f"""WITH {_SUBSET} SELECT dataset, count(*) AS n FROM judged GROUP BY 1""",
-)
-def build_info_json(spark, sf):
-    """Sizes written as JSON objects and parsed again."""
-    info = sampling.build_info(parts(spark, sf), N_QUERIES).select(F.to_json(F.struct("*")).alias("j"))
-    return info.select(F.from_json("j", "dataset string, qrels_rows bigint").alias("r")).select("r.dataset", F.col("r.qrels_rows").alias("n")).filter("n > 0")
+SELECT dataset, {n_queries} AS queries_requested, coalesce(queries_written, 0) AS queries_written, coalesce(corpus_written, 0) AS corpus_written, CAST(coalesce(rel_docs, 0) AS BIGINT) AS rel_docs, CAST(coalesce(distractors, 0) AS BIGINT) AS distractors, coalesce(qrels_rows, 0) AS qrels_rows, {sampling.SEED} AS seed FROM k FULL JOIN a USING (dataset) FULL JOIN j USING (dataset)""",
+    )
+    def subset_build_info(spark, sf):
+        return sampling.build_info(parts(spark, sf), n_queries)
+
+    @query(
+        f"build_info_json{suffix}",
+        f"""WITH {sub} SELECT dataset, count(*) AS n FROM judged GROUP BY 1""",
+    )
+    def build_info_json(spark, sf):
+        """Sizes written as JSON objects and parsed again."""
+        info = sampling.build_info(parts(spark, sf), n_queries).select(F.to_json(F.struct("*")).alias("j"))
+        return info.select(F.from_json("j", "dataset string, qrels_rows bigint").alias("r")).select("r.dataset", F.col("r.qrels_rows").alias("n")).filter("n > 0")
+
+
+subset_queries("", N_QUERIES, N_DISTRACTORS)
+#: The sizes of the reference.
+subset_queries("_whole", sampling.N_QUERIES, sampling.N_DISTRACTORS)
 
 
 _W = "JOIN (SELECT DISTINCT dataset, split, chunk, pos, ids FROM chunk_ids) i USING (dataset, split, chunk, pos)"
