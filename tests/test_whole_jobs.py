@@ -34,3 +34,11 @@ def test_subsets_of_the_usual_size(spark, tmp_path):
     run = lambda name: record_queries.QUERIES[f"{name}_whole"](spark, str(tmp_path))
     assert run("sample_queries_hash").count() == run("subset_qrels").count() == 9 and run("subset_corpus").count() == n
     assert tuple(run("subset_build_info").first()) == ("d", 1000, 9, n, 9, n - 9, 9, 42) and run("build_info_json").first().n == 9
+
+
+def test_columns_take_queries_in_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([("f", i, [1.0, float(i)]) for i in range(4)], "scheme string, id bigint, v array<double>")
+    queries = spark.createDataFrame([(i, [1.0, i - 2.0]) for i in range(5)], "id bigint, v array<double>")
+    monkeypatch.setattr(scoring, "BLOCK", 2)
+    rows = lambda f: sorted((r.query_id, r.doc_id, r["rank"]) for r in f(docs, queries, 3).collect())
+    assert len(rows(scoring.topk_columns)) == 15 and rows(scoring.topk_columns) == rows(scoring.topk)

@@ -25,9 +25,13 @@ def ranked(scored: DataFrame, k: int, by: list[str]) -> DataFrame:
 
 def topk_columns(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(scheme, query_id, doc_id, score, rank) of docs (scheme, id, v) for queries (id, v): for small sets, as a check."""
-    q = F.broadcast(queries.limit(BLOCK).select(F.col("id").alias("query_id"), doubles(F.col("v")).alias("qv")))
-    scored = docs.crossJoin(q).select("scheme", "query_id", F.col("id").alias("doc_id"), dot(doubles(F.col("v")), F.col("qv")).alias("score"))
-    return ranked(scored, k, ["scheme", "query_id"])
+    total, out = queries.count(), None
+    for start in range(0, max(total, 1), BLOCK):
+        part = queries if total <= BLOCK else queries.orderBy("id", "v").offset(start).limit(BLOCK)
+        q = F.broadcast(part.select(F.col("id").alias("query_id"), doubles(F.col("v")).alias("qv")))
+        each = docs.crossJoin(q).select("scheme", "query_id", F.col("id").alias("doc_id"), dot(doubles(F.col("v")), F.col("qv")).alias("score"))
+        out = each if out is None else out.unionByName(each)
+    return ranked(out, k, ["scheme", "query_id"])
 
 
 def topk(docs: DataFrame, queries: DataFrame, k: int, query_key: str | None = None) -> DataFrame:
