@@ -42,3 +42,12 @@ def test_columns_take_queries_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(scoring, "BLOCK", 2)
     rows = lambda f: sorted((r.query_id, r.doc_id, r["rank"]) for r in f(docs, queries, 3).collect())
     assert len(rows(scoring.topk_columns)) == 15 and rows(scoring.topk_columns) == rows(scoring.topk)
+
+
+def test_normalised_vectors_of_both_splits(spark, tmp_path):
+    at = lambda split: ("d", split, "chunk_0", 0)
+    keys = "dataset string, split string, chunk string, pos int"
+    spark.createDataFrame([(*at(s), [2.0] * 64) for s in ("corpus", "queries")], f"{keys}, vecs array<float>").write.parquet(f"{tmp_path}/chunk_vecs.parquet")
+    spark.createDataFrame([(*at(s), s[0]) for s in ("corpus", "queries")], f"{keys}, ids string").write.parquet(f"{tmp_path}/chunk_ids.parquet")
+    got = record_queries.QUERIES["normalised_vectors_whole"](spark, str(tmp_path)).collect()
+    assert sorted((r.split, r.id) for r in got) == [("corpus", "c"), ("queries", "q")] and all(r.v == [0.125] * 64 for r in got)

@@ -192,15 +192,28 @@ def chunk_rows(spark, sf):
     return v.select(*CHUNK_KEYS, F.when(F.col("vecs").isNotNull(), F.size("vecs")).alias("dim")).join(n, CHUNK_KEYS)
 
 
+def unit_vectors(spark, sf, split: str | None = None) -> DataFrame:
+    c = readers.chunk_table(table(spark, sf, "chunk_vecs"), table(spark, sf, "chunk_ids"), split)
+    good = (F.size("v") == 64) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return c.filter(good).select("dataset", "split", "chunk", "pos", "id", F.transform(scaled(doubles(F.col("v")), SOURCE_EPS), lambda x: F.round(x, 6) + F.lit(0.0)).alias("v"))
+
+
 @query(
     "normalised_vectors",
     f"""SELECT dataset, chunk, pos, ids AS id, list_transform(list_transform(v, lambda x: x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-12)), lambda z: round(z, 6) + 0.0) AS v FROM (SELECT dataset, split, chunk, pos, CAST(vecs AS DOUBLE[]) AS v FROM chunk_vecs WHERE split = 'queries' AND len(vecs) = 64 AND len(list_filter(vecs, lambda x: x IS NULL OR NOT isfinite(x))) = 0) t {_W}""",
 )
 def normalised_vectors(spark, sf):
     """Query vectors of untagged and tagged chunks at length 1."""
-    c = readers.chunk_table(table(spark, sf, "chunk_vecs"), table(spark, sf, "chunk_ids"), "queries")
-    good = (F.size("v") == 64) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return c.filter(good).select("dataset", "chunk", "pos", "id", F.transform(scaled(doubles(F.col("v")), SOURCE_EPS), lambda x: F.round(x, 6) + F.lit(0.0)).alias("v"))
+    return unit_vectors(spark, sf, "queries").drop("split")
+
+
+@query(
+    "normalised_vectors_whole",
+    f"""SELECT dataset, split, chunk, pos, ids AS id, list_transform(list_transform(v, lambda x: x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-12)), lambda z: round(z, 6) + 0.0) AS v FROM (SELECT dataset, split, chunk, pos, CAST(vecs AS DOUBLE[]) AS v FROM chunk_vecs WHERE len(vecs) = 64 AND len(list_filter(vecs, lambda x: x IS NULL OR NOT isfinite(x))) = 0) t {_W}""",
+)
+def normalised_vectors_whole(spark, sf):
+    """Query and passage vectors at length 1."""
+    return unit_vectors(spark, sf)
 
 
 @query("chunk_sizes", "SELECT dataset, split, chunk, count(*) AS n FROM chunk_vecs GROUP BY ALL")
