@@ -51,3 +51,10 @@ def test_normalised_vectors_of_both_splits(spark, tmp_path):
     spark.createDataFrame([(*at(s), s[0]) for s in ("corpus", "queries")], f"{keys}, ids string").write.parquet(f"{tmp_path}/chunk_ids.parquet")
     got = record_queries.QUERIES["normalised_vectors_whole"](spark, str(tmp_path)).collect()
     assert sorted((r.split, r.id) for r in got) == [("corpus", "c"), ("queries", "q")] and all(r.v == [0.125] * 64 for r in got)
+
+
+def test_texts_are_cut_at_the_limit_of_the_reference(spark, tmp_path):
+    rows = [("long", "t", "x" * 40_000), ("short", None, "y" * 600), ("none", None, None)]
+    spark.createDataFrame(rows, "_id string, title string, text string").write.parquet(f"{tmp_path}/corpus.parquet")
+    got = dict(map(tuple, record_queries.QUERIES["truncate_text_whole"](spark, str(tmp_path)).collect()))
+    assert got == {"long": "t\n" + "x" * 31_998, "short": "y" * 600, "none": " "}

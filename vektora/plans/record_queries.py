@@ -12,6 +12,8 @@ from vektora.sources import readers
 
 QUERIES, ORACLES = {}, {}
 MAX_TOKENS, N_QUERIES, N_DISTRACTORS = 128, 5, 20
+#: The reference's limit for a text to embed.
+EMBED_TOKENS = 8000
 CHUNK_KEYS = ["dataset", "split", "chunk", "pos"]
 
 
@@ -58,6 +60,12 @@ def truncate_text(spark, sf):
     return table(spark, sf, "corpus").select("_id", text.truncated(text.composed(F.col("title"), F.col("text")), MAX_TOKENS).alias("content"))
 
 
+@query("truncate_text_whole", f"SELECT _id, CASE WHEN {_COMPOSED} = '' THEN ' ' ELSE substring({_COMPOSED}, 1, {4 * EMBED_TOKENS}) END AS content FROM corpus")
+def truncate_text_whole(spark, sf):
+    """The same at the reference's limit."""
+    return table(spark, sf, "corpus").select("_id", text.truncated(text.composed(F.col("title"), F.col("text")), EMBED_TOKENS).alias("content"))
+
+
 @query("query_text", "SELECT _id, coalesce(text, '') AS text FROM queries")
 def query_text(spark, sf):
     return table(spark, sf, "queries").select("_id", F.coalesce("text", F.lit("")).alias("text"))
