@@ -58,3 +58,11 @@ def test_texts_are_cut_at_the_limit_of_the_reference(spark, tmp_path):
     spark.createDataFrame(rows, "_id string, title string, text string").write.parquet(f"{tmp_path}/corpus.parquet")
     got = dict(map(tuple, record_queries.QUERIES["truncate_text_whole"](spark, str(tmp_path)).collect()))
     assert got == {"long": "t\n" + "x" * 31_998, "short": "y" * 600, "none": " "}
+
+
+def test_passages_and_queries_are_embedded(spark, tmp_path):
+    spark.createDataFrame([("d", "a", "big", "cat"), ("d", "a", "big", "cat"), ("e", "b", None, None)], "dataset string, _id string, title string, text string").write.parquet(f"{tmp_path}/corpus.parquet")
+    spark.createDataFrame([("d", "a", "cat"), ("d", "q", "big\ncat")], "dataset string, _id string, text string").write.parquet(f"{tmp_path}/queries.parquet")
+    got = {(r.dataset, r.split, r._id): r.v for r in record_queries.QUERIES["embedded_queries"](spark, str(tmp_path)).collect()}
+    assert set(got) == {("d", "corpus", "a"), ("e", "corpus", "b"), ("d", "queries", "a"), ("d", "queries", "q")}
+    assert got["d", "corpus", "a"] == got["d", "queries", "q"] != got["d", "queries", "a"] and all(len(v) == 64 for v in got.values())

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vektora.functions import text
-from vektora.functions.vectors import SOURCE_EPS, doubles, norm, scaled
+from vektora.functions.vectors import SOURCE_EPS, doubles, scaled
 from vektora.operators import metrics, report, sampling
 from vektora.sources import readers
 
@@ -310,7 +310,11 @@ def results_text(spark, sf):
 
 @query("embedded_queries", None)
 def embedded_queries(spark, sf):
-    """All query texts through the embedding interface, with the deterministic stand-in for a model."""
-    q = table(spark, sf, "queries").select("_id", "text").dropDuplicates(["_id"])
-    v = readers.embed(q, "_id", "text", readers.hashing_embedder(64), 64)
-    return v.select("id", F.round(norm(doubles(F.col("v"))), 5).alias("norm"))
+    """All passages and queries through the embedding interface, with the deterministic stand-in for a model."""
+    keys = ["dataset", "split", "_id"]
+    c = table(spark, sf, "corpus").select("dataset", F.lit("corpus").alias("split"), "_id", text.composed(F.col("title"), F.col("text")).alias("text"))
+    q = table(spark, sf, "queries").select("dataset", F.lit("queries").alias("split"), "_id", "text")
+    items = c.unionByName(q).groupBy(*keys).agg(F.max("text").alias("text"))
+    items = items.select(F.to_json(F.struct(*keys)).alias("key"), text.truncated(F.col("text"), EMBED_TOKENS).alias("text"))
+    v = readers.embed(items, "key", "text", readers.hashing_embedder(64), 64)
+    return v.select(F.from_json("id", "dataset string, split string, _id string").alias("k"), "v").select("k.*", "v")
