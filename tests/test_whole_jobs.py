@@ -2,8 +2,8 @@
 
 import numpy as np
 
-from vektora.operators import scoring
-from vektora.plans import record_queries, retrieval_queries
+from vektora.operators import schemes, scoring
+from vektora.plans import record_queries, retrieval_queries, vector_queries
 
 
 def test_true_ranks_beyond_the_ranking(spark, tmp_path):
@@ -66,3 +66,11 @@ def test_passages_and_queries_are_embedded(spark, tmp_path):
     got = {(r.dataset, r.split, r._id): r.v for r in record_queries.QUERIES["embedded_queries"](spark, str(tmp_path)).collect()}
     assert set(got) == {("d", "corpus", "a"), ("e", "corpus", "b"), ("d", "queries", "a"), ("d", "queries", "q")}
     assert got["d", "corpus", "a"] == got["d", "queries", "q"] != got["d", "queries", "a"] and all(len(v) == 64 for v in got.values())
+
+
+def test_every_budget_and_every_clip(spark, sf):
+    tiers = vector_queries.QUERIES["greedy_tiers_whole"](spark, sf).groupBy("scheme").sum("bits").collect()
+    assert {r.scheme for r in tiers} == {f"greedy_{b}b" for b in vector_queries.SMALL_BUDGETS}
+    assert all(0 < r["sum(bits)"] <= int(r.scheme[7:-1]) for r in tiers)
+    clips = retrieval_queries.QUERIES["tradeoff_table_whole"](spark, sf).collect()
+    assert sorted(r.clip_pct for r in clips) == sorted(schemes.CLIPS)

@@ -214,17 +214,26 @@ def ablation_delta(spark, sf):
     return report.ablation(b.join(order, "scheme"), "step", "ndcg10", base, 32 * DIM).select("step", "scheme", "bits_per_vec", *r6("delta", "ratio_first", "ratio_float32"))
 
 
-_CLIPS = [f"{p}_clip_{c}pct" for c in (20, 50, 80) for p in ("pos", "jac")]
+def _clips(percents) -> list[str]:
+    return [f"{p}_clip_{c}pct" for c in percents for p in ("pos", "jac")]
 
 
-@query(
-    "tradeoff_table",
-    f"{_board_sql(_CLIPS)}, p AS (SELECT CAST(regexp_extract(scheme, '([0-9]+)pct', 1) AS INTEGER) AS clip_pct, * FROM res) SELECT x.clip_pct, y.bits_per_vec, round({32 * DIM} / y.bits_per_vec, 6) AS compression_ratio, round(x.ndcg10, 6) AS ndcg10_pos, round(y.ndcg10, 6) AS ndcg10_jac, round(y.ndcg10 - x.ndcg10, 6) + 0.0 AS delta, round(({4 * DIM} - y.bits_per_vec / 8) * {report.FULL_SIZE} / 1e6, 6) AS mb_saved FROM p x JOIN p y USING (clip_pct) WHERE x.scheme LIKE 'pos%' AND y.scheme LIKE 'jac%'",
-)
-def tradeoff_table(spark, sf):
-    b = materialize(leaderboard_of(spark, sf, _CLIPS), "board").df
-    t = report.tradeoff(b.filter("scheme like 'pos%'"), b.filter("scheme like 'jac%'"), "ndcg10", DIM)
-    return t.select("clip_pct", "bits_per_vec", *r6("compression_ratio", "ndcg10_pos", "ndcg10_jac"), (F.round("delta", 6) + 0.0).alias("delta"), *r6("mb_saved"))
+def tradeoff_query(name: str, percents) -> None:
+    """Register the table for some clips, with its SQL."""
+    names = _clips(percents)
+
+    @query(
+        name,
+        f"{_board_sql(names)}, p AS (SELECT CAST(regexp_extract(scheme, '([0-9]+)pct', 1) AS INTEGER) AS clip_pct, * FROM res) SELECT x.clip_pct, y.bits_per_vec, round({32 * DIM} / y.bits_per_vec, 6) AS compression_ratio, round(x.ndcg10, 6) AS ndcg10_pos, round(y.ndcg10, 6) AS ndcg10_jac, round(y.ndcg10 - x.ndcg10, 6) + 0.0 AS delta, round(({4 * DIM} - y.bits_per_vec / 8) * {report.FULL_SIZE} / 1e6, 6) AS mb_saved FROM p x JOIN p y USING (clip_pct) WHERE x.scheme LIKE 'pos%' AND y.scheme LIKE 'jac%'",
+    )
+    def tradeoff_table(spark, sf):
+        b = materialize(leaderboard_of(spark, sf, names), "board").df
+        t = report.tradeoff(b.filter("scheme like 'pos%'"), b.filter("scheme like 'jac%'"), "ndcg10", DIM)
+        return t.select("clip_pct", "bits_per_vec", *r6("compression_ratio", "ndcg10_pos", "ndcg10_jac"), (F.round("delta", 6) + 0.0).alias("delta"), *r6("mb_saved"))
+
+
+tradeoff_query("tradeoff_table", (20, 50, 80))
+tradeoff_query("tradeoff_table_whole", schemes.CLIPS)
 
 
 def leaderboard_of(spark: SparkSession, sf: str, names) -> DataFrame:

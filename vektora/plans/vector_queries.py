@@ -208,6 +208,10 @@ def tiers_table(spark, sf) -> DataFrame:
 query("greedy_tiers", f"WITH {q.UPTO_STATS}, {_STEPS} " + " UNION ALL ".join(_tiers_sql(b) for b in SMALL_BUDGETS[:1]))(lambda spark, sf: tiers_table(spark, sf).filter(f"scheme = 'greedy_{SMALL_BUDGETS[0]}b'"))
 
 
+# every budget, without SQL, as the prefix form isn't exact beyond the first
+query("greedy_tiers_whole", None)(tiers_table)
+
+
 @query("tier_histogram", None)
 def tier_histogram(spark, sf):
     from vektora.operators.report import tier_histogram as histogram
