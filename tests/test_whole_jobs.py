@@ -1,9 +1,11 @@
 """The registered queries and their operators do the whole job."""
 
+import datetime as dt
+
 import numpy as np
 
-from vektora.operators import schemes, scoring
-from vektora.plans import record_queries, retrieval_queries, vector_queries
+from vektora.operators import referential, schemes, scoring
+from vektora.plans import p1_references, record_queries, retrieval_queries, vector_queries
 
 
 def test_true_ranks_beyond_the_ranking(spark, tmp_path):
@@ -74,3 +76,17 @@ def test_every_budget_and_every_clip(spark, sf):
     assert all(0 < r["sum(bits)"] <= int(r.scheme[7:-1]) for r in tiers)
     clips = retrieval_queries.QUERIES["tradeoff_table_whole"](spark, sf).collect()
     assert sorted(r.clip_pct for r in clips) == sorted(schemes.CLIPS)
+
+
+def test_null_datasets_go_through_the_masks(spark, tmp_path, monkeypatch):
+    record = "dataset string, _id string, ingested_at timestamp_ntz, deleted_at timestamp_ntz"
+    day = dt.datetime(2024, 5, 1)
+    for name in ("corpus", "queries"):
+        spark.createDataFrame([("d", "a", day, None)], record).write.parquet(f"{tmp_path}/{name}.parquet")
+    lines = [(1, "d", "a", "a"), (2, "d", "b", None), (3, None, "a", " "), (4, None, None, None)]
+    spark.createDataFrame([(*x, day, day) for x in lines], "qrel_id bigint, dataset string, corpus_id string, query_id string, judged_at timestamp_ntz, loaded_at timestamp_ntz").write.parquet(f"{tmp_path}/qrels.parquet")
+    seen = []
+    monkeypatch.setattr(p1_references, "orphans", lambda *a, **k: seen.append((a[3], a[0].filter("dataset is null").count())) or referential.orphans(*a, **k))
+    got = p1_references.p1_found(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(2, "corpus_id", "2024-05"), (3, "corpus_id", "2024-05")]
+    assert seen == [("full", 1), ("full", 0)]
