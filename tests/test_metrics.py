@@ -52,3 +52,13 @@ def test_reports(spark):
     got = {r.scheme: r for r in report.with_baseline(b, "a", "m").collect()}
     assert got["b"].compression_ratio == 2.0 and got["z"].compression_ratio == float("inf") and got["d"].retained == pytest.approx(0.2)
     assert [r.x for r in b.select(report.percent_of(F.lit("pos_clip_20pct")).alias("x")).limit(1).collect()] == [20]
+
+
+def test_a_query_without_results_scores_0(spark):
+    qrels = spark.createDataFrame([("q1", "d1", 1), ("q2", "d2", 1), ("q3", "d3", 1)], "query_id string, corpus_id string, score int")
+    ranking = spark.createDataFrame([("a", "q1", "d1", 1), ("a", "q2", "d9", 1), ("b", "q2", "d2", 1)], "scheme string, query_id string, doc_id string, rank int")
+    got = {(r.scheme, r.query_id): (r.ndcg5, r.recall100) for r in metrics.per_query(ranking, qrels, ks=(5,)).collect()}
+    assert got == {(s, q): (1.0, 1.0) if (s, q) in (("a", "q1"), ("b", "q2")) else (0.0, 0.0) for s in "ab" for q in ("q1", "q2", "q3")}
+    asked = spark.createDataFrame([("q1",), ("q2",), ("q7",)], "query_id string")
+    means = {r.scheme: (round(r.ndcg5, 6), r.n_queries) for r in metrics.means(metrics.per_query(ranking, qrels, ks=(5,), asked=asked)).collect()}
+    assert means == {"a": (0.5, 2), "b": (0.5, 2)}

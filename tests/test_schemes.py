@@ -24,31 +24,43 @@ def test_counts_costs_and_aliases():
     assert all(at[n] == b for n, b in AT_384.items())
 
 
-def naive(sens, tops, budget):
-    tiers, used = [0] * len(sens), 0
-    steps = allocation.TIERS
-    while True:
-        best = None
-        for i, t in enumerate(tiers):
-            if t + 1 < len(steps) and steps[t + 1] - steps[t] <= budget - used:
-                d = sens[i] * (allocation.distortion(steps[t], tops[i]) - allocation.distortion(steps[t + 1], tops[i])) / (steps[t + 1] - steps[t])
-                if d > 0 and (best is None or d > best[0]):
-                    best = (d, i)
-        if best is None:
-            return [steps[t] for t in tiers]
-        i = best[1]
-        used += steps[tiers[i] + 1] - steps[tiers[i]]
-        tiers[i] += 1
-
-
-def test_greedy_tiers_like_the_plain_search():
+def by_sorted_steps(sens, tops, budget):
+    """The list of all steps of all ladders, the most gain per bit first; each is taken if it is its angle's next and fits."""
+    ladder = list(zip(allocation.TIERS, allocation.TIERS[1:]))
+    gain = lambda i, lo, hi: sens[i] * (allocation.distortion(lo, tops[i]) - allocation.distortion(hi, tops[i])) / (hi - lo)
+    steps = sorted((-gain(i, lo, hi), i, lo, hi) for i in range(len(sens)) for lo, hi in ladder)
+    bits = [0] * len(sens)
+    for worth, i, lo, hi in steps:
+        if worth < 0 and bits[i] == lo and sum(bits) + hi - lo <= budget:
+            bits[i] = hi
+    return bits
+
+
+def test_greedy_tiers_like_the_sorted_steps():
     rng = random.Random(5)
     for _ in range(60):
         n = rng.randrange(2, 20)
         sens = sorted((rng.choice([rng.random(), 0.0, 1.0]) for _ in range(n)), reverse=True)
         budget = rng.randrange(0, 40 * n)
         got = allocation.greedy_tiers(sens, ranges(n + 1), budget)
-        assert got == naive(sens, ranges(n + 1), budget) and sum(got) <= budget
+        assert got == by_sorted_steps(sens, ranges(n + 1), budget) and sum(got) <= budget
+
+
+def farthest_first(count, budget, std, high=16):
+    """Every multiset of single steps is tried: the one whose widths lie nearest to the shares, position by position."""
+    import itertools
+    import math
+
+    w = [math.sqrt(count - i) for i in range(count)] if std is None else [math.log2(x) - min(map(math.log2, std)) + 0.1 for x in std]
+    share = [x * budget / sum(w) for x in w]
+    start = [min(high, math.floor(x)) for x in share]
+    options = [b for b in itertools.product(*(range(s, high + 1) for s in start)) if sum(b) == budget]
+    return min(options, key=lambda b: sum((x - y) ** 2 for x, y in zip(b, share)))
+
+
+@pytest.mark.parametrize("count, budget, std", [(3, 11, None), (4, 17, None), (4, 23, [0.1, 0.5, 0.3, 0.9]), (3, 29, [0.2, 0.7, 0.9])])
+def test_proportional_bits_are_nearest_to_the_shares(count, budget, std):
+    assert allocation.proportional_bits(count, budget, std) == list(farthest_first(count, budget, std))
 
 
 def test_proportional_bits():

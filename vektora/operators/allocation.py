@@ -6,8 +6,6 @@ import heapq
 import math
 from collections.abc import Sequence
 
-import numpy as np
-
 from vektora.functions.codecs import TIERS
 
 #: The width that a tier's error is reckoned with, relative to the range.
@@ -46,22 +44,26 @@ def greedy_tiers(sens: Sequence[float], tops: Sequence[float], budget: int) -> l
 
 
 def proportional_bits(count: int, budget: int, std: Sequence[float] | None = None, low: int = 0, high: int = 16) -> list[int]:
-    """Widths in proportion to importance, corrected by single bits until they add up to the budget.
+    """Widths in proportion to importance that add up to the budget, as near to it as the bounds allow.
 
     Importance is the root of the number of coordinates an angle bears on or, given standard
-    deviations, their log2 above the smallest plus 0.1. Budgets beyond the bounds end at the bounds."""
+    deviations, their log2 above the smallest plus 0.1. Every angle starts with the whole bits of its
+    proportional share; what is over or short is settled in one pass over the sorted list of all
+    single steps, the ones farthest from their share first, equal ones by position."""
     if std is None:
-        weight = np.sqrt(np.arange(count, 0, -1.0))
+        weights = [math.sqrt(count - i) for i in range(count)]
     else:
-        logs = np.log2(np.maximum(np.asarray(std, float), 1e-6))
-        weight = logs - logs.min() + 0.1
-    ideal = weight * (budget / weight.sum())
-    bits = np.clip(np.floor(ideal), low, high).astype(int)
-    while (missing := budget - int(bits.sum())) != 0:
-        up = missing > 0
-        free = bits < high if up else bits > low
-        if not free.any():
-            break
-        want = np.where(free, ideal - bits, -math.inf if up else math.inf)
-        bits[want.argmax() if up else want.argmin()] += 1 if up else -1
-    return bits.tolist()
+        logs = [math.log2(max(float(x), 1e-6)) for x in std]
+        weights = [x - min(logs) + 0.1 for x in logs]
+    unit = budget / math.fsum(weights)
+    share = [w * unit for w in weights]
+    bits = [min(high, max(low, math.floor(x))) for x in share]
+    short = budget - sum(bits)
+    # (distance from the share after which the step comes, position): the step from b to b + 1, or to b - 1
+    if short > 0:
+        steps = sorted((round(b - share[i], 12), i) for i in range(count) for b in range(bits[i], high))
+    else:
+        steps = sorted((round(share[i] - b, 12), i) for i in range(count) for b in range(bits[i], low, -1))
+    for _, i in steps[: abs(short)]:
+        bits[i] += 1 if short > 0 else -1
+    return bits

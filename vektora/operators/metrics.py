@@ -30,16 +30,22 @@ def ideal(qrels: DataFrame, ks: Sequence[int]) -> DataFrame:
     return r.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"), *(F.sum(F.when(F.col("place") <= k, _gain("place"))).alias(f"idcg{k}") for k in ks))
 
 
-def per_query(ranking: DataFrame, qrels: DataFrame, by: Sequence[str] = ("scheme",), ks: Sequence[int] = (5, 10, 15, 20), recall: int = 100) -> DataFrame:
-    """(by..., query_id, ndcg<k>..., recall<k>) for every judged query that has results.
+def per_query(ranking: DataFrame, qrels: DataFrame, by: Sequence[str] = ("scheme",), ks: Sequence[int] = (5, 10, 15, 20), recall: int = 100, asked: DataFrame | None = None) -> DataFrame:
+    """(by..., query_id, ndcg<k>..., recall<k>) for every judged query, 0 for one without results.
 
-    ranking: (by..., query_id, doc_id, rank from 1); qrels: distinct positive (query_id, corpus_id, score)."""
+    ranking: (by..., query_id, doc_id, rank from 1); qrels: distinct positive (query_id, corpus_id,
+    score). Judged queries are those of qrels or, with `asked` (query_id), those asked among them.
+    Every combination of `by` in the ranking, usually a scheme each, answers for every judged query."""
     top = max([*ks, recall])
-    hits = ranking.filter(F.col("rank") <= top).select(*by, "query_id", "doc_id", "rank").join(qrels.withColumnRenamed("corpus_id", "doc_id"), ["query_id", "doc_id"], "left")
-    dcg = [F.coalesce(F.sum(F.when(F.col("rank") <= k, _gain("rank"))), F.lit(0.0)).alias(f"dcg{k}") for k in ks]
-    found = F.sum(F.when((F.col("rank") <= recall) & F.col("score").isNotNull(), 1).otherwise(0)).alias("found")
-    got = hits.groupBy(*by, "query_id").agg(*dcg, found).join(ideal(qrels, ks), "query_id")
-    return got.select(*by, "query_id", *((F.col(f"dcg{k}") / F.col(f"idcg{k}")).alias(f"ndcg{k}") for k in ks), (F.col("found") / F.col("relevant")).alias(f"recall{recall}"))
+    best = ideal(qrels, ks)
+    if asked is not None:
+        best = best.join(asked.select("query_id").distinct(), "query_id", "left_semi")
+    hits = ranking.filter(F.col("rank") <= top).select(*by, "query_id", "doc_id", "rank").join(qrels.withColumnRenamed("corpus_id", "doc_id"), ["query_id", "doc_id"])
+    got = hits.groupBy(*by, "query_id").agg(*(F.sum(F.when(F.col("rank") <= k, _gain("rank"))).alias(f"dcg{k}") for k in ks), F.sum((F.col("rank") <= recall).cast("int")).alias("found"))
+    if by:
+        best = best.crossJoin(ranking.select(*by).distinct())  # as many as there are schemes
+    z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return best.join(got, [*by, "query_id"], "left").select(*by, "query_id", *((z(f"dcg{k}") / F.col(f"idcg{k}")).alias(f"ndcg{k}") for k in ks), (z("found") / F.col("relevant")).alias(f"recall{recall}"))
 
 
 def means(quality: DataFrame, by: Sequence[str] = ("scheme",)) -> DataFrame:

@@ -17,9 +17,11 @@ def ratio(bits: Column, base: Column | float) -> Column:
 
 
 def with_baseline(results: DataFrame, baseline: str, metric: str, by: Sequence[str] = ()) -> DataFrame:
-    """Adds compression_ratio and retained (share of the baseline's metric, null without a baseline)."""
+    """Adds compression_ratio and retained (share of the baseline's metric, null without a baseline).
+
+    A group has one baseline row."""
     base = results.filter(F.col("scheme") == baseline).select(*by, F.col("bits_per_vec").alias("_bits"), F.col(metric).alias("_metric"))
-    joined = results.join(base, list(by), "left") if by else results.crossJoin(F.broadcast(base.limit(1)))
+    joined = results.join(base, list(by), "left") if by else results.crossJoin(F.broadcast(base))
     return joined.withColumn("compression_ratio", ratio(F.col("bits_per_vec"), F.col("_bits"))).withColumn("retained", F.col(metric) / F.nullif(F.col("_metric"), F.lit(0.0))).drop("_bits", "_metric")
 
 

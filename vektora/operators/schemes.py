@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vektora.functions import codecs
+from vektora.functions import codecs, kernels
 from vektora.functions.vectors import doubles, from_angles, literal, ranges, to_angles
 from vektora.operators.allocation import greedy_tiers
 from vektora.operators.calibration import Calibration
@@ -23,7 +25,10 @@ WIDTHS = (8, 4, 2)
 
 @dataclass(frozen=True)
 class Scheme:
-    """family: float, cartesian, truncated, angle, tiers. fill: mean or zero. by: position or rank."""
+    """family: float, cartesian, truncated, angle, tiers, own. fill: mean or zero. by: position or rank.
+
+    A scheme from outside has the family "own" and `decode`, a function of a matrix of vectors and
+    one of their angles that gives the decoded vectors."""
 
     name: str
     family: str
@@ -33,14 +38,15 @@ class Scheme:
     fill: str = ""
     by: str = ""
     tiers: tuple[int, ...] = ()
+    decode: Callable | None = None
 
     @property
     def signature(self) -> tuple:
         """Equal for schemes that reconstruct every vector alike by definition."""
-        return (self.family, self.bits, self.keep, self.fill, self.by, self.tiers if self.family == "tiers" else ())
+        return (self.family, self.bits, self.keep, self.fill, self.by, self.tiers if self.family == "tiers" else (), self.name if self.decode else "")
 
 
-def registry(dim: int, stats: Calibration | None = None, budgets: Sequence[int] = BUDGETS) -> list[Scheme]:
+def registry(dim: int, stats: Calibration | None = None, budgets: Sequence[int] = BUDGETS, clips: Sequence[int] = CLIPS) -> list[Scheme]:
     """All schemes for `dim` numbers, in order. Without statistics, tiers are reckoned with equal sensitivities."""
     n = dim - 1
     sens = stats.sens if stats else [1.0] * n
@@ -55,9 +61,9 @@ def registry(dim: int, stats: Calibration | None = None, budgets: Sequence[int]
 
     kept = lambda p: int(round(n * (1.0 - p / 100)))
     for prefix, by in (("jac", "rank"), ("pos", "position")):
-        out += [angle(f"{prefix}_clip_{p}pct", kept(p), 8, "mean", by) for p in CLIPS]
-    out += [angle(f"pos_clip_{p}pct_zero", kept(p), 8, "zero", "position") for p in CLIPS]
-    for p in CLIPS:
+        out += [angle(f"{prefix}_clip_{p}pct", kept(p), 8, "mean", by) for p in clips]
+    out += [angle(f"pos_clip_{p}pct_zero", kept(p), 8, "zero", "position") for p in clips]
+    for p in clips:
         k = int(round(dim * (1.0 - p / 100)))
         out.append(Scheme(f"cart_clip_{p}pct", "cartesian", 8 * dim, 8) if k >= dim else Scheme(f"cart_clip_{p}pct", "truncated", 8 * k, 8, k))
     for p in FLOAT_CLIPS:
@@ -106,9 +112,44 @@ def decoded(s: Scheme, v: Column, a: Column, dim: int, stats: Calibration | None
     return from_angles(codecs.angle_clip(a, tops, s.bits, kept, means if s.fill == "mean" else literal([0.0] * n)))
 
 
-def decode_all(vectors: DataFrame, ident: str, v: str, dim: int, schemes: Sequence[Scheme], stats: Calibration | None) -> DataFrame:
-    """(scheme, id, v) for every scheme, from one scan: angles are worked out once per vector."""
-    base = vectors.select(F.col(ident).alias("id"), doubles(F.col(v)).alias("v"))
+def select(every: Sequence[Scheme], names: Sequence[str]) -> tuple[list[Scheme], list[str]]:
+    """The named schemes in the registry's order, and the names it doesn't have."""
+    wanted = set(names)
+    return [s for s in every if s.name in wanted], sorted(wanted - {s.name for s in every})
+
+
+def decoding(schemes: Sequence[Scheme], dim: int, stats: Calibration | None) -> Callable[[np.ndarray], Iterator[tuple[str, np.ndarray]]]:
+    """A function that gives (name, decoded vectors) of every scheme for a matrix; angles are worked out once."""
+    made = [(s.name, kernels.decoder(s, dim, stats)) for s in schemes]
+    angles = any(s.family in ("angle", "tiers", "own") for s in schemes)
+
+    def run(v):
+        a = kernels.to_angles(v) if angles else None
+        for name, f in made:
+            yield name, f(v, a)
+
+    return run
+
+
+def decode_all(vectors: DataFrame, ident: str, v: str, dim: int, schemes: Sequence[Scheme], stats: Calibration | None, backend: str = "arrow") -> DataFrame:
+    """(scheme, id, v) for every scheme, from one scan. Null vectors give no rows.
+
+    backend "arrow" decodes whole batches, "columns" in expressions, whose time grows with the square
+    of dim for angles."""
+    base = vectors.select(F.col(ident).alias("id"), doubles(F.col(v)).alias("v")).filter("v is not null")
+    if backend == "arrow":
+        decode = decoding(schemes, dim, stats)
+
+        def run(batches):
+            import pyarrow as pa
+
+            for t in batches:
+                for at in range(0, t.num_rows, 2048):
+                    part = t.slice(at, 2048)
+                    for name, m in decode(kernels.matrix(part.column("v"))):
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(m), pa.string()), part.column("id"), kernels.lists(m)], names=["scheme", "id", "v"])
+
+        return base.mapInArrow(run, T.StructType([T.StructField("scheme", T.StringType()), T.StructField("id", base.schema["id"].dataType), T.StructField("v", T.ArrayType(T.DoubleType()))]))
     if any(s.family in ("angle", "tiers") for s in schemes):
         base = base.withColumn("a", to_angles(F.col("v"), dim))
     else:

@@ -47,17 +47,19 @@ def exact(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
 
 
 def chosen(names, s) -> list[schemes.Scheme]:
-    every = {x.name: x for x in schemes.registry(DIM, s)}
-    return [every[n] for n in names]
+    found, missing = schemes.select(schemes.registry(DIM, s), names)
+    if missing:
+        raise ValueError(f"no such schemes: {missing}")
+    return found
 
 
 def ranking(spark: SparkSession, sf: str, names, k: int = 100) -> DataFrame:
     s = stats(spark, sf)
-    return scoring.topk(schemes.decode_all(embeddings(spark, sf), "vec_id", "v", DIM, chosen(names, s), s), searching(spark, sf), k)
+    return scoring.topk_schemes(embeddings(spark, sf), "vec_id", "v", DIM, chosen(names, s), s, searching(spark, sf), k)
 
 
 def quality(spark: SparkSession, sf: str, names, by=("scheme",)) -> DataFrame:
-    return metrics.per_query(ranking(spark, sf, names), exact(spark, sf), by, KS)
+    return metrics.per_query(materialize(ranking(spark, sf, names), "ranking").df, exact(spark, sf), by, KS)
 
 
 def r6(*names: str):
@@ -126,7 +128,7 @@ def single_truth(spark, sf):
 def leaderboard(spark: SparkSession, sf: str, names) -> DataFrame:
     """Means of every metric per scheme with bits, ratio and share retained."""
     m = metrics.means(quality(spark, sf, names))
-    bits = spark.createDataFrame([(s.name, s.bits_per_vec) for s in chosen(names, stats(spark, sf))], "scheme string, bits_per_vec int")
+    bits = spark.createDataFrame([(s.name, s.bits_per_vec) for s in chosen(names, stats(spark, sf) if any(n.startswith("greedy") for n in names) else None)], "scheme string, bits_per_vec int")
     return report.with_baseline(m.join(F.broadcast(bits), "scheme"), "float32", "ndcg10")
 
 

@@ -8,7 +8,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", name: str = "vektora") -> SparkSession:
@@ -30,12 +31,15 @@ def get_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which all executors share.
 
-    Only where the setting is absent (tests on one machine) a temporary folder is made and set."""
+    Where the setting is absent a temporary folder is made and set if the session runs in one process
+    on one machine, as in tests; on a cluster that is an error, as every executor would write its own disk."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not at and sc._jsc.sc().getCheckpointDir().isDefined():
         at = sc._jsc.sc().getCheckpointDir().get()
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="vektora-")
         sc.setCheckpointDir(at)
     return at
@@ -82,29 +86,36 @@ def _clean(spark: SparkSession, base: str) -> None:
         pass  # the JVM may be gone already
 
 
-def materialize(df: DataFrame, name: str = "t") -> Stored:
+def materialize(df: DataFrame, name: str = "t", compression: str = "zstd") -> Stored:
     """Write `df` once to the shared folder and read it back.
 
     This cuts the lineage as checkpoint() does, is computed only once, is columnar, and survives
-    the loss of executors, since the files are not theirs."""
+    the loss of executors, since the files are not theirs. Vectors hardly compress: use "lz4"."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return Stored(spark, path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def materialize_counting(df: DataFrame, name: str, what: Column | None = None) -> tuple[Stored, int]:
+    """`materialize`, and how many rows (or rows for which `what` holds) were written, without another job.
+
+    A task that runs twice may count twice, so only none and some can be told apart for certain."""
+    seen = Observation()
+    each = F.lit(1) if what is None else F.when(what, 1)
+    stored = materialize(df.observe(seen, F.count(each).alias("n")), name)
+    return stored, seen.get["n"]
+
+
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """Make use of all cores where a scan has fewer splits than there are cores.
 
-    Meant for CPU-bound stages right after a scan; scans with enough splits, and plans that shuffle
-    anyway, are left alone."""
-    plan = df._jdf.queryExecution()
-    if re.search("Aggregate|Join|Window|Exchange|Sort|Repartition", plan.sparkPlan().toString()):
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if plan.toRdd().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores * 2, *keys)
+    Meant for CPU-bound stages right behind a scan; scans with enough splits are left alone. Not for
+    plans that shuffle anyway."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores * 2, *keys)
 
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:

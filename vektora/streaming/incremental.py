@@ -8,13 +8,14 @@ was made with are kept beside it, and other settings are refused.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vektora.operators.calibration import long_angles
-from vektora.operators.scoring import merged, topk
+from vektora.operators.calibration import CENTRE, Calibration, partial_sums
+from vektora.operators.schemes import Scheme
+from vektora.operators.scoring import merged, topk, topk_schemes
 from vektora.session import _fs
 
 
@@ -58,20 +59,21 @@ def statistics_step(state: State, dim: int) -> Callable[[DataFrame, int], None]:
     """foreachBatch: sums of angles, squares and log-sensitivities per position."""
 
     def step(batch: DataFrame, n: int) -> None:
-        new = long_angles(batch, "v", dim).select("pos", F.lit(1).alias("n"), F.col("angle").alias("s"), (F.col("angle") * F.col("angle")).alias("q"), F.col("cum").alias("c"))
-        old = state.before(n)
+        new, old = partial_sums(batch, "v", dim), state.before(n)
         rows = new if old is None else new.unionByName(old)
         state.write(rows.groupBy("pos").agg(*(F.sum(x).alias(x) for x in ("n", "s", "q", "c"))), n)
 
     return step
 
 
-def finished_statistics(state: State) -> DataFrame:
-    """(pos, mean_angle, sens) of all batches so far."""
+def finished_statistics(state: State, rank: bool = False) -> DataFrame:
+    """(pos, mean_angle, sens) of all batches so far, with `rank` also the place by falling sensitivity."""
     from pyspark.sql import Window
 
-    rows = state.read().select("pos", (F.col("s") / F.col("n")).alias("mean_angle"), (F.col("c") / F.col("n")).alias("m"))
-    return rows.withColumn("sens", F.exp(F.col("m") - F.max("m").over(Window.partitionBy(F.lit(0))))).drop("m")
+    rows = state.read().select("pos", (F.col("s") / F.col("n") + CENTRE).alias("mean_angle"), (F.col("c") / F.col("n")).alias("m"))
+    all_ = Window.partitionBy(F.lit(0))  # as many rows as there are angles
+    out = rows.withColumn("sens", F.exp(F.col("m") - F.max("m").over(all_))).drop("m")
+    return out.withColumn("rank", F.row_number().over(all_.orderBy(F.desc(F.round("sens", 12)), "pos")) - 1) if rank else out
 
 
 def topk_step(state: State, queries: DataFrame, k: int, decode: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
@@ -84,6 +86,29 @@ def topk_step(state: State, queries: DataFrame, k: int, decode: Callable[[DataFr
     return step
 
 
+def schemes_step(state: State, queries: DataFrame, k: int, dim: int, schemes: Sequence[Scheme], stats: Calibration | None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch: the running top-k of all schemes, whose batches (id, v) are decoded where they are scored."""
+
+    def step(batch: DataFrame, n: int) -> None:
+        new, old = topk_schemes(batch, "id", "v", dim, schemes, stats, queries, k), state.before(n)
+        state.write(new if old is None else merged(old, new, k), n)
+
+    return step
+
+
+def run_super_batches(batches: Sequence[Sequence[str]], read: Callable[[Sequence[str]], DataFrame], step: Callable[[DataFrame, int], None], state: State) -> int:
+    """Work through super-batches of chunks (by `readers.super_batches`) in order and give the number done.
+
+    A batch whose version of the state exists is skipped, so that a run that was broken off goes on
+    behind the last whole one. The batches must be those the state was begun with."""
+    have, done = max(state.versions(), default=-1), 0
+    for n, paths in enumerate(batches):
+        if n > have:
+            step(read(paths), n)
+            done += 1
+    return done
+
+
 def run(spark: SparkSession, path: str, schema, step: Callable[[DataFrame, int], None], checkpoint: str, files_per_batch: int = 1, glob: str = "*.parquet") -> None:
     """Work through all files now in a folder, in batches; a later run goes on where this one ended."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", glob).parquet(path)
