@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vektora.functions.text import composed, composed_trimmed
+from vektora.functions.text import composed, composed_trimmed, truncated
 from vektora.session import _fs
 
 SPLITS = ("test", "dev", "train")
@@ -79,11 +79,89 @@ def common_subsets(spark: SparkSession, data: str, vectors: str, wanted: list[st
     return ([n for n in there if n in wanted], [n for n in wanted if n not in there]) if wanted else (there, [])
 
 
-def legacy_chunks(spark: SparkSession, folder: str, tag: str = "") -> DataFrame:
+def npy_shape(head: bytes) -> tuple[int, ...]:
+    """The shape that the header of a .npy file states."""
+    import ast
+
+    if head[:6] != b"\x93NUMPY":
+        raise ValueError("not a .npy file")
+    wide = head[6] > 1
+    size = int.from_bytes(head[8 : 12 if wide else 10], "little")
+    start = 12 if wide else 10
+    return tuple(ast.literal_eval(head[start : start + size].decode("latin1").strip())["shape"])
+
+
+def npy_rows(spark: SparkSession, path: str) -> int:
+    """The number of vectors in a .npy file, from its header alone."""
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        head = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(4096, fs.getFileStatus(p).getLen()))
+    finally:
+        stream.close()
+    return npy_shape(bytes(head))[0]
+
+
+def legacy_sizes(spark: SparkSession, folder: str, tag: str = "") -> list[tuple[str, int]]:
+    """(path, rows) of the chunk files of a tag in order, from their headers alone."""
+    return [(path, npy_rows(spark, path)) for path in discover_chunks(spark, folder, tag)]
+
+
+def super_batches(sizes: list[tuple[str, int]], rows: int) -> list[list[str]]:
+    """Consecutive chunks put together until they have `rows` rows at least; the last may have fewer."""
+    out: list[list[str]] = []
+    held, n = [], 0
+    for path, size in sizes:
+        held.append(path)
+        n += size
+        if n >= rows:
+            out.append(held)
+            held, n = [], 0
+    return [*out, held] if held else out
+
+
+def broken_pairs(spark: SparkSession, folder: str, tag: str = "", repair: bool = False) -> list[str]:
+    """Chunk files without ids, with another number of ids, or unreadable; with `repair` they and their ids are deleted.
+
+    What is left are whole chunks, behind which an interrupted run goes on."""
+    bad = []
+    for path in discover_chunks(spark, folder, tag):
+        ids = path[: -len(".npy")] + ".ids.txt"
+        fs, p = _fs(spark, ids)
+        try:
+            if not fs.exists(p) or npy_rows(spark, path) != count_lines(spark, ids):
+                bad.append(path)
+        except ValueError:
+            bad.append(path)
+    if repair:
+        for path in bad:
+            for x in (path, path[: -len(".npy")] + ".ids.txt"):
+                fs, p = _fs(spark, x)
+                fs.delete(p, False)
+    return bad
+
+
+def capped(chunks: DataFrame, most: int) -> DataFrame:
+    """The first `most` rows of a table of chunks (chunk, pos, ...) in their order; 0 takes all.
+
+    Only as many rows as are asked for are put in order."""
+    if not most:
+        return chunks
+    return chunks.orderBy("chunk", "pos").limit(most)
+
+
+def in_order(embedded: DataFrame, items: DataFrame, ident: str, seq: str) -> DataFrame:
+    """(seq, id, v) of embedded items by their sequence number, whichever task was done first."""
+    order = items.select(F.col(ident).cast("string").alias("id"), F.col(seq).alias("seq"))
+    return embedded.join(order, "id").select("seq", "id", "v").orderBy("seq")
+
+
+def legacy_chunks(spark: SparkSession, folder: str, tag: str = "", files: list[str] | None = None) -> DataFrame:
     """(chunk, pos, id, v) from .npy files with their .ids.txt: row and line of the same number belong together.
 
-    A chunk whose numbers of rows and lines differ raises ValueError. One task reads one file."""
-    files = discover_chunks(spark, folder, tag)
+    A chunk whose numbers of rows and lines differ raises ValueError. One task reads one file. `files`
+    takes these instead of all chunks of the tag."""
+    files = discover_chunks(spark, folder, tag) if files is None else list(files)
     if not files:
         return spark.createDataFrame([], "chunk string, pos int, id string, v array<float>")
     names = [f.rsplit("/", 1)[1][: -len(".npy")] for f in files]
@@ -128,6 +206,16 @@ def chunk_table(vectors: DataFrame, names: DataFrame, split: str | None = None,
     return v.join(n, on).select("dataset", "split", "chunk", "pos", "id", "v")
 
 
+def metric_columns(results: DataFrame) -> list[str]:
+    """The columns of metrics (ndcg<k>, recall<k>) that hold numbers, ndcg first, each by k as a number.
+
+    A column counts if the first row has a number there, so text columns that were never parsed do, too."""
+    named = [c for c in results.columns if re.fullmatch(r"(ndcg|recall)\d+", c)]
+    first = results.select(*(F.expr(f"try_cast(`{c}` AS double)").alias(c) for c in named)).first() if named else None
+    numeric = [c for c in named if first is not None and first[c] is not None]
+    return sorted(numeric, key=lambda c: (c.startswith("recall"), int(re.sub(r"\D", "", c))))
+
+
 def results(spark: SparkSession, paths: dict[str, str], schema: str) -> DataFrame:
     """Result files of several subsets, with the subset's name."""
     out = None
@@ -140,11 +228,11 @@ def results(spark: SparkSession, paths: dict[str, str], schema: str) -> DataFram
 Embedder = Callable[[list[str]], "object"]
 
 
-def embed(items: DataFrame, ident: str, text: str, make: Callable[[], Embedder], dim: int, batch: int = 256, already: DataFrame | None = None) -> DataFrame:
+def embed(items: DataFrame, ident: str, text: str, make: Callable[[], Embedder], dim: int, batch: int = 256, already: DataFrame | None = None, halve: bool = True) -> DataFrame:
     """(id, v) from an embedder that is made once per task; vectors come back at length 1.
 
-    Ids of `already` (id) are skipped, so a run can be taken up again. A batch that fails is halved until
-    single texts fail, whose error is raised."""
+    Ids of `already` (id) are skipped, so a run can be taken up again. With `halve`, a batch that fails is
+    halved until single texts fail, whose error is raised. Rows keep the order of their partition."""
     rows = items.select(F.col(ident).cast("string").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     if already is not None:
         rows = rows.join(already.select("id"), "id", "left_anti")
@@ -159,7 +247,7 @@ def embed(items: DataFrame, ident: str, text: str, make: Callable[[], Embedder],
             try:
                 return np.asarray(model(texts), dtype=np.float64)
             except Exception:
-                if len(texts) == 1:
+                if len(texts) == 1 or not halve:
                     raise
                 h = len(texts) // 2
                 return np.vstack([vectors(texts[:h]), vectors(texts[h:])])
