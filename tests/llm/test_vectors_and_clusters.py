@@ -39,10 +39,11 @@ def brute(ids, m, k):
     return out
 
 
-@pytest.mark.parametrize("least", [None, 0.85])
-def test_one_partition_is_exact(spark, least):
+@pytest.mark.parametrize("least, rows", [(None, 10_000), (0.85, 10_000), (None, 60), (0.85, 60)])
+def test_exact(spark, least, rows):
+    """One partition, and trying every partition."""
     ids, m = cloud()
-    near = vi.nearest(vi.build(frame(spark, ids, m), DIM, 0.9, least, parts=1), 5, least)
+    near = vi.nearest(vi.build(frame(spark, ids, m), DIM, None, least, rows=rows), 5, least)
     got = {}
     for r in near.orderBy("id", "rank").collect():
         got.setdefault(r.id, []).append((r.other_id, r.cosine))
@@ -53,32 +54,55 @@ def test_one_partition_is_exact(spark, least):
         assert len({o for o, _ in have}) == len(have) and i not in {o for o, _ in have}
 
 
-def test_partitions_reach_the_recall(spark, monkeypatch):
-    monkeypatch.setattr(vi, "BLOCK", 64)  # several blocks a partition
+def hits(near, want):
+    got = {}
+    for r in near.collect():
+        got.setdefault(r.id, set()).add(round(r.cosine, 9))
+    return np.array([sum(round(c, 9) in got.get(i, ()) for _, c in w) for i, w in want.items()])
+
+
+@pytest.mark.parametrize("settings", [{"rows": 100}, {"rows": 100, "fanout": 4, "refine": 150}, {"rows": 40, "fanout": 3, "refine": 60}])
+def test_partitions_reach_the_recall(spark, monkeypatch, settings):
+    """One, two and more levels of classifiers; partitions are cut into several blocks."""
+    monkeypatch.setattr(vi, "BLOCK", 64)
     monkeypatch.setattr(vi, "SEARCHERS", 200)
     ids, m = cloud(2, 80, 600)
     want = brute(ids, m, 5)
-    index = vi.build(frame(spark, ids, m), DIM, 0.95, parts=8)
-    assert len(index.router.b) == 8 and index.router.probes < 8
-    got = {}
-    for r in vi.nearest(index, 5).collect():
-        got.setdefault(r.id, set()).add(round(r.cosine, 9))
-    hit = sum(round(c, 9) in got.get(i, ()) for i, w in want.items() for _, c in w)
-    assert hit / (5 * len(ids)) >= 0.9 and all(len(want[i]) == 5 for i in ids)
+    index = vi.build(frame(spark, ids, m), DIM, 0.97, **settings)
+    tried = index.routed[0].df.selectExpr("avg(aggregate(visits, 0, (a, x) -> a + size(x.leaves)))").first()[0]
+    assert index.partitions >= 8 and tried < len(index.router.b)
+    assert len(index.routed) > 2 or "fanout" not in settings
+    found = hits(vi.nearest(index, 5), want)
+    assert found.sum() / (5 * len(ids)) >= 0.9
     close = {(i, o) for i, w in want.items() for o, c in w if c >= 0.85}
-    found = {(r.id, r.other_id) for r in vi.nearest(vi.build(frame(spark, ids, m), DIM, 0.999, 0.85, parts=8), 5, 0.85).collect()}
-    assert len(found & close) >= 0.98 * len(close)
+    near = {(r.id, r.other_id) for r in vi.nearest(vi.build(frame(spark, ids, m), DIM, 0.9995, 0.85, **settings), 5, 0.85).collect()}
+    assert len(near & close) >= 0.98 * len(close) and not near - close
+
+
+def test_recall_on_a_test_table(spark):
+    """p5_neighbours with its own settings against brute force over all passage vectors of sf0.1."""
+    v = p5.vectors(spark, "/root/testdata/sf0.1").toArrow()
+    ids, m = v["id"].to_pylist(), vi.matrix(v["v"], p5.DIM)
+    u = vi.unit(m)
+    kth = np.concatenate([np.partition(np.round(np.minimum(u[i : i + 1000] @ u.T, 1.0), 12), -6, axis=1)[:, -6] for i in range(0, len(u), 1000)])
+    place = {x: i for i, x in enumerate(ids)}
+    near = p5.p5_neighbours(spark, "/root/testdata/sf0.1").select("id", "cosine").toArrow()
+    at = np.array([place[x] for x in near["id"].to_pylist()])
+    right = np.bincount(at[near["cosine"].to_numpy() >= kth[at] - 1e-12], minlength=len(u))
+    assert (np.bincount(at, minlength=len(u)) == 5).all()
+    assert right.clip(max=5).mean() / 5 >= 0.95 and (right < 3).mean() < 0.02
 
 
-def test_balanced_partition_and_probes():
+def test_balanced_partition_and_margin():
     rng = np.random.default_rng(3)
     u = vi.unit(rng.normal(size=(800, DIM)))
     near, sims = vi.neighbours(u, 10)
     assert (np.sort(sims, axis=1)[:, -1] >= np.sort(sims, axis=1)[:, 0]).all()
     label = vi.balanced_partition(u, near, 8)
     assert np.bincount(label, minlength=8).max() <= np.ceil(800 / 8 * 1.05)
-    r = vi.fit(u.astype(np.float32), 8, 0.9)
-    assert r.expected >= 0.9 and 1 <= r.probes <= 8
+    r = vi.fit(u.astype(np.float32), 8, 0.9, group=2)
+    assert r.expected >= 0.9 and r.margin > 0 and len(set(r.group.tolist())) == 4
+    assert np.isinf(vi.fit(u.astype(np.float32), 8, None).margin)
 
 
 def test_usable(spark):
@@ -107,15 +131,15 @@ def groups_of(ids, m, least):
     return out
 
 
-@pytest.mark.parametrize("parts, block", [(1, 16_384), (1, 50), (6, 100)])
-def test_clusters(spark, monkeypatch, parts, block):
+@pytest.mark.parametrize("rows, block", [(10_000, 16_384), (10_000, 50), (100, 100)])
+def test_clusters(spark, monkeypatch, rows, block):
     monkeypatch.setattr(vi, "BLOCK", block)
     monkeypatch.setattr(vi, "SEARCHERS", 3 * block)
     ids, m = cloud(4, 60, 200)
     chain = [np.r_[np.cos(a), np.sin(a), np.zeros(DIM - 2)] for a in np.arange(0, 2.5, 0.3)]  # neighbours are linked, the ends aren't
     m = np.vstack([m, chain]).astype(np.float32)
     ids += [f"z{i}" for i in range(len(chain))]
-    found = p3.clusters(vi.build(frame(spark, ids, m), DIM, 1.0, 0.85, parts=parts))
+    found = p3.clusters(vi.build(frame(spark, ids, m), DIM, None if rows > 100 else 0.9999, 0.85, rows=rows))
     assert {(r.cluster_id, r.member_id) for r in found.collect()} == groups_of(ids, m, 0.85)
     about = {r.cluster_id: r for r in p3.describe(found, frame(spark, ids, m), DIM).collect()}
     assert about["z0"].size == len(chain) and about["z0"].typical[0] == "z4"
@@ -130,7 +154,11 @@ def plain_average(links, threshold, missing):
 
     def mean(g, h):
         known = [sim[k] for a in g for b in h if (k := frozenset((a, b))) in sim]
-        return (sum(known) + missing * (len(g) * len(h) - len(known))) / (len(g) * len(h)) if known else -9
+        if not known:
+            return -9
+        if missing is None:
+            return sum(known) / len(known)
+        return (sum(known) + missing * (len(g) * len(h) - len(known))) / (len(g) * len(h))
 
     while True:
         best = {}
@@ -145,16 +173,29 @@ def plain_average(links, threshold, missing):
             groups[x] |= groups.pop(y)
 
 
-@pytest.mark.parametrize("missing", [0.0, 0.4])
+def some_links(seed, low):
+    rng = np.random.default_rng(seed)
+    return [(int(a), int(b), round(float(s), 3)) for a, b, s in zip(rng.integers(0, 25, 60), rng.integers(0, 25, 60), rng.uniform(low, 1, 60)) if a != b]
+
+
+@pytest.mark.parametrize("missing", [0.0, 0.4, None])
 def test_average_linkage(spark, missing):
-    rng = np.random.default_rng(6)
-    links = [(int(a), int(b), round(float(s), 3)) for a, b, s in zip(rng.integers(0, 25, 120), rng.integers(0, 25, 120), rng.uniform(0.3, 1, 120)) if a != b]
+    links = some_links(6, 0.3)
     df = spark.createDataFrame([*links, (1, 1, 1.0), (None, 2, 1.0), (3, 4, None)], "a bigint, b bigint, s double")
-    got = {tuple(r) for r in reciprocal_linkage(df, 0.5, "average", missing).collect()}
+    got = {tuple(r) for r in reciprocal_linkage(df, 0.5, missing).collect()}
     assert got == plain_average(links, 0.5, missing)
     assert reciprocal_linkage(df.limit(0), 0.5).count() == 0
-    with pytest.raises(ValueError):
-        reciprocal_linkage(df, 0.5, "ward")
+
+
+@pytest.mark.parametrize("tolerance", [0.0, 0.01, 0.2])
+def test_links_at_the_threshold_give_connected_groups(spark, tolerance):
+    links = some_links(8, 0.5) + [(100, x, 0.9) for x in range(101, 110)] + [(200 + x, 201 + x, 0.6) for x in range(6)]
+    got = {tuple(r) for r in reciprocal_linkage(spark.createDataFrame(links, "a bigint, b bigint, s double"), 0.5, None, tolerance).collect()}
+    root = {x: x for a, b, _ in links for x in (a, b)}
+    for _ in root:
+        for a, b, _ in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == {(x, r) for x, r in root.items()}
 
 
 def test_spanning_forest():
@@ -184,7 +225,8 @@ def test_spanning_forest():
 
 
 def test_queries(spark, sf):
-    assert not oracle.same(p5.p5_found(spark, sf), p5.ORACLES["p5_found"], sf)[1]
+    for module in (p3, p5):
+        for name, sql in module.ORACLES.items():
+            assert not oracle.same(module.QUERIES[name](spark, sf), sql, sf)[1], name
     near = p5.p5_neighbours(spark, sf)
     assert near.columns == ["id", "rank", "other_id", "cosine"] and near.count() > 0
-    assert p3.p3_clusters(spark, sf).count() > 0

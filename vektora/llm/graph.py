@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vektora.session import Stored, materialize
+from vektora.session import Stored, materialize, materialize_counting
 
 
 def flatten(parent: DataFrame) -> Stored:
-    """Follow `parent` (node, up) until every node names its root; a root is a node with up = node.
+    """Follow `parent` (node, up), which holds no cycle but loops, until every node names its root.
 
-    Each round doubles the reach, so the number of rounds is the logarithm of the depth."""
-    now = materialize(parent, "parent")
+    A root is a node with up = node or without a row. Each round quadruples the reach, so the number
+    of rounds is the logarithm of the depth."""
+    jump = lambda t: t.join(t.select(F.col("node").alias("up"), F.col("up").alias("upper")), "up", "left").select("node", F.coalesce("upper", "up").alias("up"))
+    now: Stored | None = None
     while True:
-        up = now.df.select(F.col("node").alias("up"), F.col("up").alias("upper"))
-        nxt = materialize(now.df.join(up, "up", "left").select("node", F.coalesce("upper", "up").alias("up"), (F.coalesce("upper", "up") != F.col("up")).alias("moved")), "parent")
-        moved = nxt.df.filter("moved").limit(1).count()
-        now.drop()
+        t = jump(parent if now is None else now.df)
+        further = t.select(F.col("node").alias("up"), F.col("up").alias("upper"))
+        nxt, moved = materialize_counting(t.join(further, "up", "left").select("node", F.coalesce("upper", "up").alias("up"), (F.coalesce("upper", "up") != F.col("up")).alias("moved")), "parent", F.col("moved"))
+        if now is not None:
+            now.drop()
         now = nxt
         if not moved:
-            return Stored(now.spark, now.path)
+            return now
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -2,31 +2,41 @@
 
 A bounded sample gives a neighbour graph, which is cut into balanced partitions; a small classifier
 learns from it in which partitions the neighbours of a vector lie. Every vector is stored in its
-most probable partition and compared with all vectors of its `probes` most probable ones. Since a
-comparison counts for both of its vectors, a pair is missed only if neither probes the other's
-partition. Similarities are found in single and decided in double precision.
-
-Only the sample is bounded (SAMPLE rows, a parameter); every vector is stored and searched.
+most probable partition and compared with the vectors of every partition whose log-odds lie at most
+a margin below the best; the margin is calibrated on held-out rows to a stated recall, so that
+vectors in dense places try one or two partitions and loose ones many. Since a comparison counts for
+both of its vectors, a pair is missed only if neither tries the other's partition. Similarities are
+found in single and decided in double precision.
+
+The number of partitions follows the number of rows. A first classifier has FANOUT classes at most;
+a partition of more than REFINE rows gets a classifier of its own, fitted on a sample of its rows in
+the task that holds them, and so on. Only samples are bounded (SAMPLE rows each, a parameter); every
+vector is stored and searched. `exact` tries every partition.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vektora.session import Stored, materialize, spread
+from vektora.session import Stored, materialize
 
 SAMPLE = 12_000
-ROWS_PER_PARTITION = 4096
-MOST_PARTITIONS = 128
+#: Rows aimed at per partition, classes of one classifier, and rows from which a partition is cut again.
+ROWS, FANOUT, REFINE = 128, 256, 4096
+#: Rows stored in the partitions that travel together.
+GROUP = 6144
 #: Largest blocks that one task compares: stored rows and searching rows.
 BLOCK, SEARCHERS = 16_384, 49_152
 CHUNK = 512
 SLACK = 1e-5
+#: Levels of classifiers beyond which a partition that can't be told apart is only cut into blocks.
+LEVELS = 5
 
 
 def usable(vectors: DataFrame, names: DataFrame, dim: int, split: str | None = None) -> DataFrame:
@@ -65,19 +75,19 @@ class Router:
 
     w: np.ndarray
     b: np.ndarray
-    probes: int
+    margin: float
     expected: float  # the recall that the calibration on held-out rows expects
+    group: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int32))  # partition -> the first partition of its group
 
-    def ranked(self, u: np.ndarray, probes: int | None = None) -> np.ndarray:
-        return ranked(u, self.w, self.b, probes or self.probes)
+    def behind(self, u: np.ndarray) -> np.ndarray:
+        """How far the log-odds of each partition lie below the row's best."""
+        z = u.astype(np.float32) @ self.w + self.b
+        return z.max(axis=1, keepdims=True) - z
 
+    def pack(self) -> bytes:
+        import pickle
 
-def ranked(u: np.ndarray, w: np.ndarray, b: np.ndarray, probes: int) -> np.ndarray:
-    """The `probes` most probable partitions of each row, the most probable first."""
-    t = min(probes, len(b))
-    s = u.astype(np.float32) @ w + b
-    top = np.argpartition(-s, t - 1, axis=1)[:, :t] if t < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(s), 1))
-    return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1).astype(np.int32)
+        return pickle.dumps((self.w, self.b, self.margin, self.expected, self.group))
 
 
 def neighbours(u: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,18 +154,18 @@ def train(u: np.ndarray, target: np.ndarray, epochs: int = 40, batch: int = 512,
     return theta[:-1], theta[-1]
 
 
-def fit(sample: np.ndarray, parts: int, recall: float, k: int = 10, min_similarity: float | None = None, seed: int = 7) -> Router:
-    """Partition the sample's graph, train the classifier and choose the number of probes.
+def fit(sample: np.ndarray, parts: int, recall: float | None, k: int = 10, min_similarity: float | None = None, group: float = 1.0, seed: int = 7) -> Router:
+    """Partition the sample's graph, train the classifier and choose the margin.
 
-    A fifth of the sample is held out. With min_similarity the probes are those that find the stated
-    share of partners at exactly that similarity in a random direction, the hardest that count;
-    without, that share of the sample's own nearest neighbours, which lie farther apart than those
-    in the whole collection."""
+    A fifth of the sample is held out. With min_similarity the margin finds the stated share of
+    partners at exactly that similarity in a random direction, the hardest that count; without, that
+    share of the sample's own nearest neighbours, which lie farther apart than those in the whole
+    collection. recall None: every partition is tried. `group` partitions travel together."""
     u = unit(sample)
     dim = u.shape[1]
     parts = max(1, min(parts, len(u) // 8))
     if parts == 1:
-        return Router(np.zeros((dim, 1), np.float32), np.zeros(1, np.float32), 1, 1.0)
+        return Router(np.zeros((dim, 1), np.float32), np.zeros(1, np.float32), 0.0, 1.0)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(u))
     held, use = order[: len(u) // 5], order[len(u) // 5 :]
@@ -165,86 +175,215 @@ def fit(sample: np.ndarray, parts: int, recall: float, k: int = 10, min_similari
     np.add.at(target, (np.repeat(np.arange(len(use)), near.shape[1]), label[near].ravel()), 0.5 / max(1, near.shape[1]))
     target[np.arange(len(use)), label] += 0.5
     w, b = train(u[use], target, seed=seed)
-    router = Router(w, b, parts, 1.0)
+    router = Router(w, b, math.inf, 1.0)
+    bundles = max(1, min(parts, round(parts / group)))
+    centre = unit(np.array([u[use][label == p].sum(axis=0) if (label == p).any() else u[use][0] for p in range(parts)]))
+    bundle = balanced_partition(centre, neighbours(centre, k)[0], bundles, seed=seed) if bundles > 1 else np.zeros(parts, np.int64)
+    router.group = np.array([np.argmax(bundle == x) for x in bundle], np.int32)
+    if recall is None:
+        return router
     if min_similarity is not None:
         x = np.repeat(u[held], max(1, 20_000 // len(held)), axis=0)
         noise = rng.normal(size=x.shape)
         noise -= np.einsum("ij,ij->i", noise, x)[:, None] * x
         y = min_similarity * x + math.sqrt(1 - min_similarity**2) * unit(noise)
-        a, o = router.ranked(x, parts), router.ranked(y, parts)
+        a, o = router.behind(x), router.behind(y)
     else:
         s, _ = neighbours(u, min(5, k))
-        q = np.repeat(held, s.shape[1])
-        a, o = router.ranked(u[q], parts), router.ranked(u[s[held].ravel()], parts)
-    # the place of the one's own partition in the other's ranking, the better of both directions
-    place = np.minimum((a == o[:, :1]).argmax(axis=1), (o == a[:, :1]).argmax(axis=1))
-    share = np.cumsum(np.bincount(place, minlength=parts)) / len(place)
-    router.probes = int(np.argmax(share >= min(recall, share[-1]))) + 1
-    router.expected = float(share[router.probes - 1])
+        a, o = router.behind(u[np.repeat(held, s.shape[1])]), router.behind(u[s[held].ravel()])
+    # how far the one's own partition lies behind in the other's odds, the better of both directions
+    every = np.arange(len(a))
+    gap = np.sort(np.minimum(a[every, o.argmin(axis=1)], o[every, a.argmin(axis=1)]))
+    router.margin = float(gap[min(len(gap) - 1, math.ceil(recall * len(gap)) - 1)])
+    router.expected = float((gap <= router.margin).mean())
     return router
 
 
+def visits(n, v, cell: int, own, model: Router, dim: int):
+    """A record batch (n, v, visits): for each row the groups (g, home, leaves) of partitions that it visits.
+
+    A partition's number is its cell's, which it is part of, times 1024, plus its place from 1; home
+    is the row's own partition, where it is stored, or -1; rows that aren't the cell's own are stored
+    elsewhere."""
+    import pyarrow as pa
+
+    rows = len(n)
+    behind = model.behind(unit(matrix(v, dim))) if rows else np.zeros((0, len(model.b)))
+    by_group = np.argsort(model.group, kind="stable")
+    r, c = np.nonzero(behind[:, by_group] <= model.margin)
+    leaf = by_group[c]
+    g = model.group[leaf]
+    start = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (g[1:] != g[:-1])]) if len(r) else np.zeros(0, np.int64)
+    home = behind.argmin(axis=1) if rows else np.zeros(0, np.int64)
+    mine = own[r[start]] & (model.group[home[r[start]]] == g[start])
+    first = cell * 1024 + 1
+    ends = np.r_[start, len(r)].astype(np.int32)
+    s = pa.StructArray.from_arrays(
+        [pa.array(first + g[start].astype(np.int64)), pa.array(np.where(mine, first + home[r[start]], -1).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(first + leaf.astype(np.int64)))],
+        names=["g", "home", "leaves"],
+    )
+    per_row = np.r_[0, np.cumsum(np.bincount(r[start], minlength=rows))].astype(np.int32) if rows else np.zeros(1, np.int32)
+    return pa.RecordBatch.from_arrays([n, v, pa.ListArray.from_arrays(pa.array(per_row), s)], names=["n", "v", "visits"])
+
+
+VISITS = "n bigint, v array<float>, visits array<struct<g: bigint, home: bigint, leaves: array<bigint>>>"
+
+
 @dataclass
 class Index:
-    """Vectors in their blocks: `members` (n, id), `blocks` (g, stored, n, v) ready to be compared."""
+    """Vectors in their blocks (g, mb, qs, home, leaves, n, v), ready to be compared."""
 
     classes: Stored  # n, id, v: one row per distinct vector; n follows the order of the ids
-    members: Stored  # id, class_id
-    routed: Stored
+    members: Stored  # id, n of its class
+    routed: list[Stored]
     blocks: DataFrame
-    groups: int
     router: Router
+    partitions: int
+    groups: int
     dim: int
 
+    def drop_routed(self) -> None:
+        """Delete the routed vectors. `nearest` and `clusters` have stored what they found when they return."""
+        for t in self.routed:
+            t.drop()
+
+
+def _refined(hot: DataFrame, big: DataFrame, model_of: Callable, dim: int, sample: int) -> Stored:
+    """Visits of the rows of `hot` (n, v, cell, own) to partitions of their cells.
+
+    Each cell of `big` (cell, stored, rows) gets a classifier from at most some `sample` of its stored
+    rows, which meets the cell's rows in slices, so no task holds a whole cell."""
+    schema = "cell bigint, model binary"
+
+    def learn(key, table):
+        import pyarrow as pa
+
+        t = table.slice(0, 2 * sample)  # the hash leaves about `sample`
+        stored = table.column("stored")[0].as_py()
+        return pa.table({"cell": pa.array([key[0].as_py()], pa.int64()), "model": pa.array([model_of(matrix(t.column("v"), dim), stored).pack()], pa.binary())})
+
+    part = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("stored"))
+    sampled = hot.filter("own").join(big, "cell").filter(F.pmod(F.xxhash64("n", F.lit(5)), F.lit(1_000_003)) < part * 1_000_003)
+    models = materialize(sampled.select("cell", "stored", "n", "v").groupBy("cell").applyInArrow(learn, schema), "models").df
+    slices = F.ceil(F.col("rows") / F.lit(SEARCHERS)).cast("int")
+    left = hot.join(big, "cell").select("cell", F.pmod(F.xxhash64("n", F.lit(13)), slices).cast("int").alias("slice"), "n", "v", "own")
+    right = models.join(big, "cell").select("cell", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), "model")
 
-def build(vectors: DataFrame, dim: int, recall: float, min_similarity: float | None = None, parts: int | None = None, sample: int = SAMPLE, probes: int | None = None) -> Index:
-    """Index `vectors` (id, v). Ids with equal vectors form a class of which only the smallest id is indexed."""
+    def route(key, rows, model):
+        import pickle
+
+        import pyarrow as pa
+
+        m = Router(*pickle.loads(model.column("model")[0].as_py())) if model.num_rows else Router(np.zeros((dim, 1), np.float32), np.zeros(1, np.float32), 0.0, 1.0)
+        n, v = (rows.column(c).combine_chunks() if rows.num_rows else pa.array([], rows.schema.field(c).type) for c in ("n", "v"))
+        return pa.Table.from_batches([visits(n, v, key[0].as_py(), rows.column("own").to_numpy().astype(bool), m, dim)])
+
+    return materialize(left.groupBy("cell", "slice").cogroup(right.groupBy("cell", "slice")).applyInArrow(route, VISITS), "routed", "lz4")
+
+
+def build(
+    vectors: DataFrame,
+    dim: int,
+    recall: float | None,
+    min_similarity: float | None = None,
+    rows: int = ROWS,
+    sample: int = SAMPLE,
+    fanout: int = FANOUT,
+    refine: int = REFINE,
+) -> Index:
+    """Index `vectors` (id, v). Ids with equal vectors form a class of which only the smallest id is indexed.
+
+    recall None: exact, every vector meets every other. Otherwise the stated share of neighbours (or,
+    with min_similarity, of partners at least so similar) is aimed at."""
     sc = vectors.sparkSession.sparkContext
-    own = materialize(vectors, "vectors")
+    own = materialize(vectors, "vectors", "lz4")
     tagged = own.df.select("id", F.xxhash64("v").alias("d"), F.xxhash64(F.lit(1), "v").alias("e"))  # 128 bits
     members = materialize(tagged.join(tagged.groupBy("d", "e").agg(F.min("id").alias("class_id")), ["d", "e"]).select("id", "class_id"), "members")
     reps = own.df.join(members.df.filter("id = class_id").select("id"), "id", "left_semi")
-    classes = materialize(reps.sort("id").withColumn("n", F.monotonically_increasing_id()), "classes")
+    classes = materialize(reps.sort("id").withColumn("n", F.monotonically_increasing_id()), "classes", "lz4")
     own.drop()
+    named = materialize(members.df.join(classes.df.select("n", F.col("id").alias("class_id")), "class_id").select("id", "n"), "members")
+    members.drop()
+    members = named
     count = classes.df.count()
     take = classes.df.select("id", "v").withColumn("h", F.xxhash64("id"))
     if count > 4 * sample:
         take = take.filter(F.pmod("h", F.lit(1_000_003)) < int(1_000_003 * 1.5 * sample / count))
     got = take.orderBy("h").limit(sample).select("v").toArrow()
     s = matrix(got["v"], dim) if got.num_rows else np.zeros((0, dim))
-    parts = parts or min(MOST_PARTITIONS, 1 << max(0, round(math.log2(max(1, count / ROWS_PER_PARTITION)))))
-    router = fit(s, parts, recall, min_similarity=min_similarity)
-    if probes:
-        router.probes = min(probes, len(router.b))
-    shared = sc.broadcast((router.w, router.b, router.probes))  # plain arrays: executors need not have this module
+    tasks = 3 * sc.defaultParallelism
+
+    def model_of(vectors: np.ndarray, stored: int) -> Router:
+        parts = max(1, min(fanout, round(stored / rows)))
+        return fit(vectors, parts, recall, min_similarity=min_similarity, group=GROUP / max(1, stored / parts))
+
+    parts = max(1, min(fanout, round(count / rows)))
+    levels, left = 1, count / parts
+    while left > refine and levels < LEVELS:
+        levels, left = levels + 1, left / fanout
+    recall = recall and recall ** (1 / levels)  # the levels' losses add up
+    router = fit(s, parts, recall, min_similarity=min_similarity, group=max(1.0, min(GROUP / max(1, count / parts), parts / tasks))) if len(s) else Router(np.zeros((dim, 1), np.float32), np.zeros(1, np.float32), 0.0, 1.0)
+    packed = sc.broadcast(router.pack())  # at most FANOUT x (dim + 2) numbers
 
     def route(batches):
-        import pyarrow as pa
+        import pickle
 
+        m = Router(*pickle.loads(packed.value))
         for t in batches:
-            r = ranked(unit(matrix(t.column("v"), dim)), *shared.value) if t.num_rows else np.zeros((0, 1), np.int32)
-            yield pa.RecordBatch.from_arrays([*t.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1, dtype=np.int32) * r.shape[1]), pa.array(r.ravel()))], names=["n", "v", "parts"])
-
-    routed = materialize(spread(classes.df.select("n", "v")).mapInArrow(route, "n bigint, v array<float>, parts array<int>"), "routed")
-    # one row per partition comes to the driver: at most MOST_PARTITIONS
-    sizes = {r["p"]: (r["stored"], r["searching"]) for r in routed.df.select(F.posexplode("parts").alias("place", "p")).groupBy("p").agg(F.sum((F.col("place") == 0).cast("int")).alias("stored"), F.count(F.lit(1)).alias("searching")).collect()}
-    shape, first = {}, 0
-    for p, (stored, searching) in sorted(sizes.items()):
-        if stored:
-            nb, ns = math.ceil(stored / BLOCK), math.ceil(searching / SEARCHERS)
-            shape[p] = (first, nb, ns)
-            first += nb * ns
-    if not shape:
-        empty = classes.df.select(F.lit(0).alias("g"), F.lit(True).alias("stored"), "n", "v").limit(0)
-        return Index(classes, members, routed, empty, 0, router, dim)
-    look = lambda i: F.element_at(F.create_map(*(F.lit(x) for p, s in shape.items() for x in (p, s[i]))), F.col("p"))
-    each = routed.df.select("n", "v", F.posexplode("parts").alias("place", "p")).withColumns({"f": look(0), "nb": look(1), "ns": look(2)}).filter("f is not null")
+            yield visits(t.column("n"), t.column("v"), 0, np.ones(t.num_rows, bool), m, dim)
+
+    plain = classes.df.select("n", "v")
+    if count > 4096 and plain.rdd.getNumPartitions() < sc.defaultParallelism:
+        plain = plain.repartition(2 * sc.defaultParallelism)
+    level = materialize(plain.mapInArrow(route, VISITS), "routed", "lz4")
+    # the first classifier's partitions and groups come to the driver: at most 2 x FANOUT rows
+    first = level.df.select(F.explode("visits").alias("x")).groupBy("x.g", "x.home").agg(F.count(F.lit(1)).alias("c")).collect()
+    sizes = {r["home"]: r["c"] for r in first if r["home"] >= 0}
+    routed, out, partitions, groups = [level], [], len(sizes), len({r["g"] for r in first})
+    hottest = max(sizes.values(), default=0)
+    for depth in range(LEVELS):
+        each = level.df.select("n", "v", F.explode("visits").alias("x")).select("n", "v", "x.g", "x.home", "x.leaves")
+        if hottest <= refine or depth == LEVELS - 1:
+            out.append(each)
+            break
+        # sizes of partitions, without the vectors
+        stored = level.df.select(F.explode("visits").alias("x")).filter("x.home >= 0").groupBy(F.col("x.home").alias("cell")).agg(F.count(F.lit(1)).alias("stored"))
+        visiting = level.df.select(F.explode("visits").alias("x")).select(F.explode("x.leaves").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))
+        hot_cells = materialize(stored.filter(F.col("stored") > refine).join(visiting, "cell"), "hot")
+        big = hot_cells.df
+        # what isn't hot stays as it is; hot partitions get one row per visitor and are cut again
+        flat = each.select("n", "v", "g", "home", F.explode("leaves").alias("cell"))
+        hot = flat.join(big.select("cell"), "cell", "left_semi").select("n", "v", "cell", (F.col("home") == F.col("cell")).alias("own"))
+        rest = flat.join(big.select("cell"), "cell", "left_anti")
+        out.append(rest.select("n", "v", "g", F.when(F.col("home") == F.col("cell"), F.col("home")).otherwise(F.lit(-1)).alias("home"), F.array("cell").alias("leaves")))
+        level = _refined(hot, big, model_of, dim, sample)
+        routed += [hot_cells, level]
+        tally = level.df.select(F.explode("visits").alias("x")).filter("x.home >= 0").groupBy("x.g", "x.home").agg(F.count(F.lit(1)).alias("c"))
+        tally = tally.agg(F.max("c").alias("most"), F.count(F.lit(1)).alias("n"), F.count_distinct("g").alias("groups")).first()
+        hottest, partitions, groups = tally["most"] or 0, partitions + tally["n"], groups + tally["groups"]
+    every = out[0]
+    for more in out[1:]:
+        every = every.unionByName(more)
+    one = F.lit(0).alias("mb"), F.lit(0).alias("qs")
+    whole = every.select("g", *one, "home", "leaves", "n", "v")
+    rows_of: dict[int, int] = {}
+    stored_of: dict[int, int] = {}
+    for r in first:
+        rows_of[r["g"]] = rows_of.get(r["g"], 0) + r["c"]
+        stored_of[r["g"]] = stored_of.get(r["g"], 0) + (r["c"] if r["home"] >= 0 else 0)
+    if len(out) == 1 and max(rows_of.values(), default=0) <= SEARCHERS and max(stored_of.values(), default=0) <= BLOCK:
+        return Index(classes, members, routed, whole, router, partitions, groups, dim)
+    shape = every.groupBy("g").agg(F.sum((F.col("home") >= 0).cast("bigint")).alias("stored"), F.count(F.lit(1)).alias("rows")).filter("stored > 0")
+    shape = materialize(shape.filter((F.col("stored") > BLOCK) | (F.col("rows") > SEARCHERS)), "shape")
+    routed.append(shape)
+    cut = shape.df.select("g", F.ceil(F.col("stored") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("rows") / SEARCHERS).cast("int").alias("ns"))
     h = F.xxhash64("n", F.lit(11))
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    searching = each.select("n", "v", F.lit(False).alias("stored"), "f", "ns", F.explode(upto("nb")).alias("mb"), F.pmod(h, "ns").cast("int").alias("qs"))
-    stored = each.filter("place = 0").select("n", "v", F.lit(True).alias("stored"), "f", "ns", F.pmod(h, "nb").cast("int").alias("mb"), F.explode(upto("ns")).alias("qs"))
-    blocks = searching.unionByName(stored).select((F.col("f") + F.col("mb") * F.col("ns") + F.col("qs")).alias("g"), "stored", "n", "v")
-    return Index(classes, members, routed, blocks.repartition(max(1, 2 * first), "g"), first, router, dim)
+    some = every.join(cut, "g")
+    searching = some.select("g", F.explode(upto("nb")).alias("mb"), F.pmod(h, "ns").cast("int").alias("qs"), F.lit(-1).cast("bigint").alias("home"), "leaves", "n", "v")
+    stored_ = some.filter("home >= 0").select("g", F.pmod(h, "nb").cast("int").alias("mb"), F.explode(upto("ns")).alias("qs"), "home", F.array().cast("array<bigint>").alias("leaves"), "n", "v")
+    blocks = whole.join(cut, "g", "left_anti").unionByName(searching).unionByName(stored_)
+    return Index(classes, members, routed, blocks.select("g", "mb", "qs", "home", "leaves", "n", "v"), router, partitions, groups, dim)
 
 
 def _by(*cols: str):
@@ -253,19 +392,6 @@ def _by(*cols: str):
     return Window.partitionBy(*cols)
 
 
-def halves(table, dim: int):
-    """Searching and stored rows of a block, each ordered by n, with unit vectors in both precisions."""
-    out = []
-    flag = table.column("stored").to_numpy()
-    n, v = table.column("n").to_numpy(), matrix(table.column("v"), dim)
-    for want in (False, True):
-        at = np.nonzero(flag == want)[0]
-        at = at[np.argsort(n[at], kind="stable")]
-        u = unit(v[at]) if len(at) else np.zeros((0, dim))
-        out += [n[at], u, u.astype(np.float32)]
-    return out
-
-
 def cosines(u: np.ndarray, v: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Double-precision cosines of the pairs u[r], v[c], the same for (x, y) and (y, x)."""
     out = np.empty(len(r))
@@ -275,63 +401,96 @@ def cosines(u: np.ndarray, v: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.nd
 
 
 def best(rows: np.ndarray, others: np.ndarray, cos: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best of each row: higher cosine, then smaller other."""
+    """Places of the k best different others of each row: higher cosine, then smaller other."""
     order = np.lexsort((others, -cos, rows))
+    r, o = rows[order], others[order]
+    again = np.r_[False, (r[1:] == r[:-1]) & (o[1:] == o[:-1])] if len(r) else np.zeros(0, bool)  # found from both sides
+    order = order[~again]
     r = rows[order]
     start = np.r_[True, r[1:] != r[:-1]] if len(r) else np.zeros(0, bool)
     place = np.arange(len(r)) - np.maximum.accumulate(np.where(start, np.arange(len(r)), 0))
     return order[place < k]
 
 
+class Top:
+    """The k best partners of each of some rows, while pairs are offered."""
+
+    def __init__(self, rows: int, k: int, least: float):
+        self.k, self.floor = k, np.full(rows, least - SLACK, np.float32)
+        self.held, self.fresh, self.waiting = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), [], 0
+
+    def offer(self, a: np.ndarray, b: np.ndarray, cos: np.ndarray) -> None:
+        self.fresh += [(a, b, cos), (b, a, cos)]
+        self.waiting += 2 * len(a)
+        if self.waiting > len(self.held[0]) + 200_000:
+            self.settle()
+
+    def settle(self) -> None:
+        new = tuple(np.concatenate(x) for x in zip(self.held, *self.fresh, strict=True))
+        at = best(*new, self.k)
+        self.held, self.fresh, self.waiting = tuple(x[at] for x in new), [], 0
+        full = np.bincount(self.held[0], minlength=len(self.floor)) >= self.k
+        low = np.full(len(self.floor), np.inf)
+        np.minimum.at(low, self.held[0], self.held[2])
+        self.floor = np.where(full, np.maximum(self.floor, low - SLACK), self.floor).astype(np.float32)
+
+
+def meetings(table, dim: int, k: int, floor: Callable[[], np.ndarray], nodes: list):
+    """Pairs (a, b, cosine) of places among the block's rows whose similarity reaches the floor of either.
+
+    Appends the rows' n, in order, to nodes before the first pair. Partition by partition, the rows
+    that try it are compared with those stored in it. Floors below -1 are raised to the k-th best of
+    the first comparison with more than k rows."""
+    n, inverse = np.unique(table.column("n").to_numpy(), return_inverse=True)
+    nodes.append(n)
+    home, lists = table.column("home").to_numpy(), table.column("leaves").combine_chunks()
+    tries, at = lists.flatten().to_numpy(), np.repeat(np.arange(len(home)), lists.value_lengths().to_numpy())
+    u = unit(matrix(table.column("v"), dim)) if len(home) else np.zeros((0, dim))
+    f = u.astype(np.float32)
+    order = np.argsort(tries, kind="stable")
+    tries, at = tries[order], at[order]
+    kept = np.flatnonzero(home >= 0)
+    kept = kept[np.argsort(home[kept], kind="stable")]
+    leaves, start = np.unique(home[kept], return_index=True)
+    for leaf, m in zip(leaves, np.split(kept, start[1:]) if len(kept) else (), strict=False):
+        q = at[np.searchsorted(tries, leaf) : np.searchsorted(tries, leaf, "right")]
+        q = np.concatenate([q[home[q] == leaf], q[home[q] != leaf]])  # the partition's own rows first, as their floors rise soonest
+        mine, stored = inverse[m], f[m]
+        for i in range(0, len(q), CHUNK):
+            part = q[i : i + CHUNK]
+            who = inverse[part]
+            s = f[part] @ stored.T
+            s[who[:, None] == mine[None, :]] = -3
+            low = floor()
+            for axis, places in ((1, who), (0, mine)):
+                loose = np.flatnonzero(low[places] < -1)
+                if len(loose) and s.shape[axis] > k:
+                    kth = np.partition(s[loose] if axis else s[:, loose].T, -k, axis=1)[:, -k]
+                    low[places[loose]] = np.where(kth > -2, kth - SLACK, low[places[loose]])
+            r, c = np.divmod(np.flatnonzero(s >= np.minimum(np.maximum(low[who], -2)[:, None], np.maximum(low[mine], -2)[None, :])), s.shape[1])
+            if len(r):
+                yield who[r], mine[c], cosines(u[part], u[m], r, c)
+
+
 def nearest_in_block(table, dim: int, k: int, min_similarity: float | None):
-    """(n, o, cos): the k best stored rows of every searching row and the k best searching rows of every stored one."""
-    qn, qu, qf, mn, mu, mf = halves(table, dim)
-    found, bounded = [], min_similarity is not None
-    least = (min_similarity if bounded else -2.0) - SLACK
-    # each stored row's best so far (stored place, searching place, cosine), and what came since they were last put in order
-    held, fresh = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), []
-    floor = np.full(len(mn), least, np.float32)
-    own = np.minimum(np.searchsorted(mn, qn), max(len(mn) - 1, 0))
-    itself = mn[own] == qn if len(mn) else np.zeros(len(qn), bool)
-
-    def settle():
-        nonlocal held, floor
-        new = tuple(np.concatenate(x) for x in zip(held, *fresh, strict=True))
-        fresh.clear()
-        at = best(new[0], qn[new[1]], new[2], k)
-        held = tuple(x[at] for x in new)
-        if not bounded:
-            full = np.bincount(held[0], minlength=len(mn)) >= k
-            kth = np.full(len(mn), np.inf)
-            np.minimum.at(kth, held[0], held[2])
-            floor = np.where(full, np.maximum(floor, kth - SLACK), floor).astype(np.float32)
-
-    for i in range(0, len(qn), CHUNK) if len(mn) else ():
-        s = qf[i : i + CHUNK] @ mf.T
-        me = np.nonzero(itself[i : i + CHUNK])[0]
-        s[me, own[i + me]] = -3
-        low = least
-        if not bounded and (runs := s.shape[1] // 64) >= k:  # the k-th best of the runs' maxima is at most the k-th best of all
-            low = np.partition(s[:, : runs * 64].reshape(len(s), 64, runs).max(axis=1), -k, axis=1)[:, -k, None] - SLACK
-        r, c = np.divmod(np.flatnonzero(s >= low), s.shape[1])
-        cos = cosines(qu[i : i + CHUNK], mu, r, c)
-        at = best(r, mn[c], cos, k)
-        found.append((qn[i + r[at]], mn[c[at]], cos[at]))
-        if not bounded:
-            if i == 0 and len(s) > k:
-                floor = np.partition(s, -k, axis=0)[-k] - SLACK
-            r, c = np.divmod(np.flatnonzero(s >= floor[None, :]), s.shape[1])
-            cos = cosines(qu[i : i + CHUNK], mu, r, c)
-        fresh.append((c, i + r, cos))
-        if sum(len(x[0]) for x in fresh) > len(held[0]) + 10_000:
-            settle()
-    settle()
-    found.append((mn[held[0]], qn[held[1]], held[2]))
-    n, o, cos = (np.concatenate(x) for x in zip(*found, strict=True))
+    """(n, others, cosines): the k best partners of every row of a block, those at least as similar as min_similarity."""
+    least = -2.0 if min_similarity is None else min_similarity
+    nodes: list = []
+    top = Top(len(np.unique(table.column("n").to_numpy())), k, least)
+    for a, b, cos in meetings(table, dim, k, lambda: top.floor, nodes):
+        top.offer(a, b, cos)
+    top.settle()
+    a, b, cos = top.held
     if min_similarity is not None:
-        keep = cos >= min_similarity
-        n, o, cos = n[keep], o[keep], cos[keep]
-    return n, o, cos
+        near = cos >= min_similarity
+        a, b, cos = a[near], b[near], cos[near]
+    order = np.argsort(a, kind="stable")
+    return nodes[0][a[order]], nodes[0][b[order]], cos[order]
+
+
+def blockwise(index: Index) -> DataFrame:
+    """The blocks, dealt out so that each of them is one group."""
+    return index.blocks.repartition(max(8, min(20_000, 3 * index.groups)), "g", "mb", "qs")
 
 
 def nearest(index: Index, k: int, min_similarity: float | None = None) -> DataFrame:
@@ -344,19 +503,20 @@ def nearest(index: Index, k: int, min_similarity: float | None = None) -> DataFr
         import pyarrow as pa
 
         n, o, cos = nearest_in_block(table, dim, top, min_similarity)
-        return pa.table({"n": n.astype(np.int64), "o": o.astype(np.int64), "cos": cos})
-
-    found = index.blocks.groupBy("g").applyInArrow(run, "n bigint, o bigint, cos double")
-    # each vector gets at most k rows from each block it was in
-    near = found.groupBy("n").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("cos")).alias("c"), "o"))), 1, k).alias("l"))
-    near = near.select("n", F.explode("l").alias("x")).select("n", F.col("x.o").alias("o"), (-F.col("x.c")).alias("cos"))
-    name = index.classes.df.select("n", F.col("id").alias("class_id"))
-    pairs = near.join(name, "n").select("class_id", "o", "cos").join(name.select(F.col("n").alias("o"), F.col("class_id").alias("other_class")), "o").select("class_id", "other_class", "cos")
+        start = np.flatnonzero(np.r_[True, n[1:] != n[:-1]]) if len(n) else np.zeros(0, np.int64)
+        ends = pa.array(np.r_[start, len(n)].astype(np.int32))
+        pairs = pa.StructArray.from_arrays([pa.array(-cos), pa.array(o.astype(np.int64))], names=["c", "o"])
+        return pa.table({"n": pa.array(n[start].astype(np.int64)), "l": pa.ListArray.from_arrays(ends, pairs)})
+
+    found = blockwise(index).groupBy("g", "mb", "qs").applyInArrow(run, "n bigint, l array<struct<c: double, o: bigint>>")
+    # each vector has one list of at most k from each block it was in
+    near = found.groupBy("n").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("l")))), 1, k).alias("l"))
+    near = materialize(near.select("n", F.explode("l").alias("x")).select("n", F.col("x.o").alias("o"), (-F.col("x.c")).alias("cos")), "near").df
     m = index.members.df
-    first = m.withColumn("r", F.row_number().over(_by("class_id").orderBy("id"))).filter(F.col("r") <= k + 1).select(F.col("class_id").alias("other_class"), F.col("id").alias("other_id"))
-    offers = pairs.join(first, "other_class").select("class_id", "other_id", "cos")
-    several = m.groupBy("class_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("class_id")
-    inside = first.join(several, F.col("other_class") == F.col("class_id"), "left_semi").select(F.col("other_class").alias("class_id"), "other_id", F.lit(1.0).alias("cos"))
-    each = offers.unionByName(inside).join(m, "class_id").filter("id <> other_id")
+    first = m.withColumn("r", F.row_number().over(_by("n").orderBy("id"))).filter(F.col("r") <= k + 1).select("n", F.col("id").alias("other_id"))
+    offers = near.join(first.withColumnRenamed("n", "o"), "o").select("n", "other_id", "cos")
+    several = m.groupBy("n").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("n")
+    inside = first.join(several, "n", "left_semi").select("n", "other_id", F.lit(1.0).alias("cos"))
+    each = offers.unionByName(inside).join(m, "n").filter("id <> other_id")
     ranked = each.withColumn("rank", F.row_number().over(_by("id").orderBy(F.desc("cos"), "other_id"))).filter(F.col("rank") <= k)
     return ranked.select("id", "rank", "other_id", F.col("cos").alias("cosine"))
