@@ -9,6 +9,7 @@ thresholds are kept in quality_rules.json and applied as one CASE expression.
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -43,11 +44,6 @@ def _kept(c: Column, drop: str) -> Column:
     return _len(F.regexp_replace(c, drop, ""))
 
 
-def _among(c: Column, characters: str) -> Column:
-    """Number of characters that are among the given ones."""
-    return _len(c) - _len(F.translate(c, characters, ""))
-
-
 def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.round(part / whole, 4)).otherwise(F.lit(0.0))
 
@@ -73,8 +69,8 @@ def language(lang: Column, known: list[str]) -> Column:
     return F.when(plain.isin(known), plain)
 
 
-def statistics(documents: DataFrame, key: str, text: str, lang: str, common: dict[str, list[str]]) -> DataFrame:
-    """(key, n_words, mean_word_length, symbol_ratio, ending_share, common_share, then FEATURES of the body).
+def statistics(documents: DataFrame, key: str, text: str, lang: str, common: dict[str, list[str]], only: Sequence[str] | None = None) -> DataFrame:
+    """(key, n_words, mean_word_length, symbol_ratio, ending_share, common_share, then FEATURES of the body), or the columns `only`.
 
     common_share counts the words of the document's language where that is usable, else of all
     languages. In texts without spaces between words it is the share of letters in common words. A null
@@ -85,8 +81,9 @@ def statistics(documents: DataFrame, key: str, text: str, lang: str, common: dic
     words_of = sorted({w for v in spaced.values() for w in v}) or [""]
     particles = "|".join(other) or "(?!)"
     d = spread(documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("lang"))).withColumn("lang", language(F.col("lang"), known))
-    body = F.regexp_replace("t", INTRODUCTION, "")
-    d = d.withColumn("b", F.when(_len(F.trim(body)) >= F.greatest(F.lit(20.0), _len(F.col("t")) * 0.2), body).otherwise(F.col("t")))
+    # again a generator, so that the beginning is looked for once
+    d = d.select("*", F.inline(F.array(F.struct(F.regexp_replace("t", INTRODUCTION, "").alias("rest")))))
+    d = d.withColumn("b", F.when(_len(F.trim("rest")) >= F.greatest(F.lit(20.0), _len(F.col("t")) * 0.2), F.col("rest")).otherwise(F.col("t"))).drop("rest")
 
     def parts(c: str, p: str) -> dict[str, Column]:
         x = F.col(c)
@@ -135,10 +132,10 @@ def statistics(documents: DataFrame, key: str, text: str, lang: str, common: dic
         "distinct_phrases": _share(n(F.array_distinct("phrase_list")), n("phrase_list")),
         "phrases": n("phrase_list"),
         "single_letters": _share(cnt("b_tokens", lambda w: w.rlike(r"^\p{L}$")), n("b_tokens")),
-        "open_vowels": _share(_among(F.lower("b"), VOWELS), F.col("b_letters")),
+        "open_vowels": _share(_kept(F.lower("b"), f"[^{VOWELS}]+"), F.col("b_letters")),
         "coded": _share(joined(F.filter("b_tokens", lambda w: (F.length(w) >= 32) & w.rlike(CODED))), F.col("b_chars")),
         "markup": F.when(F.col("b").rlike(MARKUP_SIGN), _share(F.col("b_chars") - _kept(F.regexp_replace("b", MARKUP, ""), SPACE), F.col("b_chars"))).otherwise(F.lit(0.0)),
-        "damage": _share(_among(F.col("b"), DAMAGE), F.col("b_chars")),
+        "damage": _share(_kept(F.col("b"), f"[^{DAMAGE}]+"), F.col("b_chars")),
         "lines": n("b_rows"),
         "line_words": _share(n("b_tokens"), n("b_rows")),
         "short_lines": _share(cnt("b_rows", lambda r: (words_in(r) <= 7) & ~r.rlike(SENTENCE_END)), n("b_rows")),
@@ -150,9 +147,10 @@ def statistics(documents: DataFrame, key: str, text: str, lang: str, common: dic
         "pairs": _share(F.regexp_count("b", F.lit(r"\w=[^\s=;&]+[&;]")).cast("double"), n("b_tokens")),
         "longest_line_words": F.coalesce(F.array_max(F.transform("b_rows", words_in)), F.lit(0)).cast("double"),
     }
-    feats = {k: feats[k] for k in FEATURES}
-    # a generator between the statistics and what uses them keeps the optimiser from working them out once per use
-    row = F.struct(*(F.when(F.col("t").isNotNull(), c).alias(k) for k, c in (stats | feats).items()))
+    every = stats | {k: feats[k] for k in FEATURES}
+    # a generator between the statistics and what uses them keeps the optimiser from working them out once per
+    # use, but also from leaving out those that nobody uses
+    row = F.struct(*(F.when(F.col("t").isNotNull(), every[k]).alias(k) for k in (every if only is None else only)))
     return d.select("key", F.inline(F.array(row))).withColumnRenamed("key", key)
 
 
@@ -160,6 +158,12 @@ def load_rules(path: Path = RULES) -> list[dict]:
     return json.loads(path.read_text(encoding="utf-8"))["rules"]
 
 
+def deciding(rules: list[dict]) -> list[str]:
+    """The features that rules look at, with those by which blank texts are told."""
+    used = {"word_length", "words"} | {f for r in rules for f, _, _ in r["if"]}
+    return [f for f in FEATURES if f in used]
+
+
 def case_expression(rules: list[dict]) -> str:
     """The ordered rules as SQL: the first whose conditions all hold names the kind; blank and null texts, and the rest, are null."""
     whens = " ".join("WHEN " + " AND ".join(f"{f} {op} {t!r}" for f, op, t in r["if"]) + f" THEN '{r['kind']}'" for r in rules)
