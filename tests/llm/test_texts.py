@@ -1,12 +1,15 @@
 """Chunking, sampling, encoding, mixing and quality rules."""
 
 import json
+from pathlib import Path
 
 import numpy as np
 import oracle
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from vektora.llm import chunking, encoding, mixing, p4_chunks, p6_sample, p7_encoding, p8_mixture, p9_quality
 from vektora.llm import quality_training as qt
@@ -114,6 +117,27 @@ def test_mixing(spark):
     assert mixing.plan({}, {"a": (0.5, 2)}) == {"a": 0}
 
 
+@pytest.mark.parametrize("run", ["p8_shares", "p8_large_shares"])
+def test_mixtures_of_a_test_table(spark, run):
+    """Every source that isn't at its cap comes within a hundredth of its part of what is left."""
+    s = p8_mixture.QUERIES[run](spark, "/root/testdata/sf0.1").toPandas()
+    free = s[~s.capped]
+    assert (s.repeats <= s.max_repeats).all() and s.actual_share.sum() == pytest.approx(1)
+    part = free.actual_share / free.actual_share.sum() / (free.target_share / free.target_share.sum())
+    assert (part - 1).abs().max() < 0.01
+    if run == "p8_shares":
+        assert (s.actual_share / s.target_share - 1).abs().max() < 0.02
+    else:
+        assert s.capped.any() and s.mixed_tokens.sum() == pytest.approx(s.tokens.sum(), rel=0.01)
+
+
+def test_plans():
+    t = {"a": (0.5, 1), "b": (0.3, 2), "c": (0.2, 1)}
+    got = mixing.plan({"a": 1000, "b": 50, "c": 1000}, t, 1000)
+    assert got["b"] == 2 * mixing.UNIT and got["a"] / got["c"] == pytest.approx(2.5) and got["a"] * 1000 + got["b"] * 50 + got["c"] * 1000 == pytest.approx(1000 * mixing.UNIT)
+    assert mixing.plan({"a": 10, "b": 10, "c": 10}, t, 1e9) == {"a": mixing.UNIT, "b": 2 * mixing.UNIT, "c": mixing.UNIT}
+
+
 QUALITY = [
     ("list", "List of colleagues:\n1) Anna\n2) studying (1920)\n3) Vornu\n4) writing (1864)\n5) Plin Foundation"),
     ("table", "a,b,c\n86.2%,87.11,x\n44.9%,80.36,n/a\n80.2%,19.59,n/a\n89.3%,30.39,yes\n11.2%,3.39,yes"),
@@ -135,6 +159,14 @@ def test_quality(spark):
     assert text_quality.statistics(df.limit(0), "id", "text", "lang", {}).count() == 0
 
 
+def test_documents_labelled_by_reading(spark):
+    """A hundred documents of sf0.1, drawn so that each verdict of the rules has its part, labelled by reading without the verdicts; both halves apart."""
+    read = pd.read_csv(Path(__file__).with_name("documents_read.tsv"), sep="\t")
+    found = {r.doc_id: r.kind for r in p9_quality.p9_found(spark, "/root/testdata/sf0.1").filter(F.col("doc_id").isin(read.doc_id.tolist())).collect()}
+    right = np.array([found.get(i, "prose") == k for i, k in zip(read.doc_id, read.kind)])
+    assert len(read) >= 100 and read.reason.notna().all() and right[::2].mean() >= 0.95 and right[1::2].mean() >= 0.95
+
+
 def test_rule_learning():
     rng = np.random.default_rng(2)
     x = rng.uniform(size=(3000, 3))
@@ -153,7 +185,7 @@ def test_rules_on_other_rows(spark):
     assert (qt.apply(rules, table) == table.kind).mean() > 0.99
 
 
-@pytest.mark.parametrize("part", [p4_chunks, p6_sample, p7_encoding])
+@pytest.mark.parametrize("part", [p4_chunks, p6_sample, p7_encoding, p9_quality])
 def test_queries_with_sql(spark, sf, part):
     for name, sql in part.ORACLES.items():
         assert not oracle.same(part.QUERIES[name](spark, sf), sql, sf)[1]

@@ -20,13 +20,16 @@ def idents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """The sample after two loads: rows of the first half of the time covered, then all rows."""
-    rows, register = idents(spark, sf), Register(spark, scratch(spark, "register"), SEED)
+    """The sample after two loads: rows of the first half of the time covered, then all rows.
+
+    Each load opens the register anew, as runs on different days do. It stays where the session's setting
+    `spark.vektora.register` says; without, it is deleted when the driver ends."""
+    rows, path = idents(spark, sf), spark.conf.get("spark.vektora.register", None) or scratch(spark, "register")
     span = rows.agg(F.min("ingested_at").cast("timestamp").cast("double").alias("a"), F.max("ingested_at").cast("timestamp").cast("double").alias("b")).first()
     middle = ((span["a"] or 0.0) + (span["b"] or 0.0)) / 2
-    register.insert(rows.filter(F.col("ingested_at").cast("timestamp").cast("double") <= middle), 0)
-    register.insert(rows, 1)
-    return register.select(SHARE)
+    Register(spark, path, SEED).insert(rows.filter(F.col("ingested_at").cast("timestamp").cast("double") <= middle), 0)
+    Register(spark, path, SEED).insert(rows, 1)
+    return Register(spark, path, SEED).select(SHARE)
 
 
 QUERIES = {"p6_sample": p6_sample}
