@@ -9,6 +9,10 @@ Match rules for keys with nulls, as in the SQL standard:
 * ``partial``  the non-null columns must be found; all null: holds
 * ``full``     all null: holds; some but not all null: an orphan without a look-up
 
+or a rule for each column: ``holds``, a null there makes the reference hold; ``unmatched``, a null
+there can't be found, so that the row is an orphan unless another column makes it hold; ``ignored``,
+the other columns are looked up without it (none left: holds).
+
 Null times: a child row without a time finds nothing (its record can't be present); a parent row
 without a start is never present; without an end it stays.
 """
@@ -23,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MATCH = ("simple", "partial", "full")
+RULES = ("holds", "unmatched", "ignored")
 #: A key with more than this share of the rows counts as hot, so that there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 1 / 200
 SALTS = 32
@@ -78,7 +83,7 @@ def orphans(
     children: DataFrame,
     parents: DataFrame,
     columns: Mapping[str, str],
-    match: str = "simple",
+    match: str | Mapping[str, str] = "simple",
     at: str | None = None,
     start: str | None = None,
     end: str | None = None,
@@ -90,8 +95,8 @@ def orphans(
     while start <= at < end. Repeated child rows stay repeated; an empty parent table makes every
     looked-up reference an orphan; parents with a null in a looked-up column can't be found through it.
     Other columns of either side may have any names."""
-    if match not in MATCH:
-        raise ValueError(f"match must be one of {MATCH}")
+    if isinstance(match, str) and match not in MATCH or isinstance(match, Mapping) and (set(match) != set(columns) or not set(match.values()) <= set(RULES)):
+        raise ValueError(f"match must be one of {MATCH}, or one of {RULES} for each column")
     spark, kids = children.sparkSession, [f"_k{i}" for i in range(len(columns))]
     given = children.columns
     c = children.select(F.struct(*(F.col(f"`{x}`") for x in given)).alias("_row"), *(F.col(f"`{x}`").alias(k) for x, k in zip(columns, kids, strict=True)), (F.col(f"`{at}`") if at else F.lit(None).cast("timestamp")).alias("_at"), F.xxhash64(*(F.col(f"`{x}`") for x in (salt_by or given) if children.schema[x].dataType.typeName() not in ("map", "variant"))).alias("_h"))
@@ -100,9 +105,10 @@ def orphans(
     for mask in product((False, True), repeat=len(kids)):  # True: null
         rows = c.filter(reduce(lambda a, b: a & b, (F.col(k).isNull() if m else F.col(k).isNotNull() for k, m in zip(kids, mask, strict=True))))
         keys = [k for k, m in zip(kids, mask, strict=True) if not m]
-        if not keys or (any(mask) and match == "simple"):
+        verdict = _verdict(match, [x for x, m in zip(columns, mask, strict=True) if m], len(keys))
+        if verdict == "holds":
             continue
-        if any(mask) and match == "full":
+        if verdict == "unmatched":
             out.append(rows)
             continue
         held = p.filter(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys)))
@@ -117,6 +123,16 @@ def orphans(
     return reduce(DataFrame.unionByName, (x.select("_row.*") for x in out))
 
 
+def _verdict(match: str | Mapping[str, str], null: list[str], left: int) -> str:
+    """What the match rule says of the rows with nulls in these columns: holds, unmatched or (look the rest up) ignored."""
+    if not null:
+        return "ignored"
+    if isinstance(match, str):
+        return "holds" if match == "simple" or not left else {"partial": "ignored", "full": "unmatched"}[match]
+    rules = {match[c] for c in null}
+    return "holds" if "holds" in rules else "unmatched" if "unmatched" in rules else "ignored" if left else "holds"
+
+
 def orphan_report(found: DataFrame, by: Sequence[str], time: str) -> DataFrame:
     """Orphans counted per `by` and calendar month of `time` (UTC, YYYY-MM; null stays null)."""
     return found.groupBy(*by, F.date_format(time, "yyyy-MM").alias("period")).agg(F.count(F.lit(1)).alias("orphans"))

@@ -80,6 +80,7 @@ def tier_histogram(tiers: DataFrame) -> DataFrame:
 
 
 def fixed_width(results: DataFrame, metrics: Sequence[str], width: int = 40) -> DataFrame:
-    """One line of text per row, for a table in a file."""
-    line = F.concat_ws(" ", F.rpad("scheme", width, " "), F.lpad(F.col("bits_per_vec").cast("string"), 8, " "), *(F.lpad(F.format_string("%.4f", F.col(m)), 9, " ") for m in metrics))
+    """One line of text per row, for a table in a file: scheme, bits, ratio where there is one, metrics."""
+    times = [F.lpad(F.format_string("%.2fx", "compression_ratio"), 8, " ")] if "compression_ratio" in results.columns else []
+    line = F.concat_ws(" ", F.rpad("scheme", width, " "), F.lpad(F.col("bits_per_vec").cast("string"), 8, " "), *times, *(F.lpad(F.format_string("%.4f", F.col(m)), 9, " ") for m in metrics))
     return results.select(line.alias("value"))

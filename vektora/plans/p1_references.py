@@ -10,6 +10,9 @@ from vektora.operators.referential import orphans
 #: reference column -> table that it points into
 FIELDS = {"corpus_id": "corpus", "query_id": "queries"}
 
+#: A line without a reference is no case; one without a dataset can't be found.
+MATCH = {"dataset": "unmatched", "ref": "holds"}
+
 
 def lines(spark: SparkSession, sf: str, field: str) -> DataFrame:
     """Distinct lines with the trimmed reference, null for null and empty ones, and the line's time."""
@@ -24,9 +27,7 @@ def failing(spark: SparkSession, sf: str) -> DataFrame:
     for field, table in FIELDS.items():
         c = lines(spark, sf, field)
         p = spark.read.parquet(f"{sf}/{table}.parquet").select("dataset", "_id", "ingested_at", "deleted_at")
-        given = c.filter("ref is not null")
-        # a null dataset beside a reference is a failure by its mask
-        bad = orphans(given, p, {"dataset": "dataset", "ref": "_id"}, "full", "t", "ingested_at", "deleted_at", salt_by=("qrel_id",)).withColumn("ref_field", F.lit(field))
+        bad = orphans(c, p, {"dataset": "dataset", "ref": "_id"}, MATCH, "t", "ingested_at", "deleted_at", salt_by=("qrel_id",)).withColumn("ref_field", F.lit(field))
         out = bad if out is None else out.unionByName(bad)
     return out
 

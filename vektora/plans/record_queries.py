@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vektora.functions import text
 from vektora.functions.vectors import SOURCE_EPS, doubles, scaled
-from vektora.operators import metrics, report, sampling
+from vektora.operators import metrics, sampling
 from vektora.sources import readers
 
 QUERIES, ORACLES = {}, {}
-MAX_TOKENS, N_QUERIES, N_DISTRACTORS = 128, 5, 20
-#: The reference's limit for a text to embed.
-EMBED_TOKENS = 8000
+#: The usual limit of tokens for a text to embed, and of rows of a table of chunks.
+EMBED_TOKENS, MOST_ROWS = 8000, 50_000
 CHUNK_KEYS = ["dataset", "split", "chunk", "pos"]
 
 
@@ -54,15 +53,9 @@ def compose_trimmed(spark, sf):
     return table(spark, sf, "corpus").select("_id", text.composed_trimmed(F.col("title"), F.col("text")).alias("content"))
 
 
-@query("truncate_text", f"SELECT _id, CASE WHEN {_COMPOSED} = '' THEN ' ' ELSE substring({_COMPOSED}, 1, {4 * MAX_TOKENS}) END AS content FROM corpus")
+@query("truncate_text", f"SELECT _id, CASE WHEN {_COMPOSED} = '' THEN ' ' ELSE substring({_COMPOSED}, 1, {4 * EMBED_TOKENS}) END AS content FROM corpus")
 def truncate_text(spark, sf):
     """What an embedder with a limit of tokens gets."""
-    return table(spark, sf, "corpus").select("_id", text.truncated(text.composed(F.col("title"), F.col("text")), MAX_TOKENS).alias("content"))
-
-
-@query("truncate_text_whole", f"SELECT _id, CASE WHEN {_COMPOSED} = '' THEN ' ' ELSE substring({_COMPOSED}, 1, {4 * EMBED_TOKENS}) END AS content FROM corpus")
-def truncate_text_whole(spark, sf):
-    """The same at the reference's limit."""
     return table(spark, sf, "corpus").select("_id", text.truncated(text.composed(F.col("title"), F.col("text")), EMBED_TOKENS).alias("content"))
 
 
@@ -71,9 +64,9 @@ def query_text(spark, sf):
     return table(spark, sf, "queries").select("_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-@query("model_tags", "SELECT source, substring(string_split('models/' || source, '/')[-1], 1, 20) AS tag FROM (SELECT DISTINCT source FROM mix_targets)")
+@query("model_tags", "SELECT source, substring(string_split('models/' || source, '/')[-1], 1, 20) AS tag FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)")
 def model_tags(spark, sf):
-    s = table(spark, sf, "mix_targets").select("source").distinct()
+    s = table(spark, sf, "documents").select("source").filter("source is not null").distinct()
     return s.select("source", text.short_model_name(F.concat(F.lit("models/"), F.col("source"))).alias("tag"))
 
 
@@ -147,47 +140,44 @@ rel AS (SELECT DISTINCT dataset, corpus_id FROM judged),
 other AS (SELECT dataset, corpus_id FROM docs d WHERE NOT EXISTS (SELECT 1 FROM rel r WHERE r.dataset = d.dataset AND r.corpus_id = d.corpus_id) QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY {_HASH.format('corpus_id')}, corpus_id) <= {n_distractors})"""
 
 
-def subset_queries(suffix: str, n_queries: int, n_distractors: int) -> None:
-    """Register the subset's queries for one size, with their SQL."""
-    sub = _subset_sql(n_queries, n_distractors)
+SUB = _subset_sql(sampling.N_QUERIES, sampling.N_DISTRACTORS)
 
-    def parts(spark, sf):
-        return sampling.subsets(table(spark, sf, "corpus"), table(spark, sf, "queries"), positive(spark, sf), n_queries, n_distractors)
 
-    @query(f"sample_queries_hash{suffix}", f"WITH {sub} SELECT * FROM drawn")
-    def sample_queries(spark, sf):
-        return sampling.first_by_hash(positive(spark, sf).select("dataset", "query_id").distinct(), ["dataset"], "query_id", n_queries)
+def parts(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    return sampling.subsets(table(spark, sf, "corpus"), table(spark, sf, "queries"), positive(spark, sf))
 
-    @query(f"subset_corpus{suffix}", f"WITH {sub} SELECT dataset, corpus_id, true AS relevant FROM rel UNION ALL SELECT dataset, corpus_id, false FROM other")
-    def subset_corpus(spark, sf):
-        return parts(spark, sf)["corpus"]
 
-    @query(f"subset_qrels{suffix}", f"WITH {sub} SELECT dataset, query_id, corpus_id, score FROM judged")
-    def subset_qrels(spark, sf):
-        return parts(spark, sf)["qrels"].select("dataset", "query_id", "corpus_id", "score")
+@query("sample_queries_hash", f"WITH {SUB} SELECT * FROM drawn")
+def sample_queries(spark, sf):
+    return sampling.first_by_hash(positive(spark, sf).select("dataset", "query_id").distinct(), ["dataset"], "query_id", sampling.N_QUERIES)
 
-    @query(
-        f"subset_build_info{suffix}",
-        f"""WITH {sub}, k AS (SELECT dataset, count(*) AS corpus_written, sum(r) AS rel_docs, sum(1 - r) AS distractors FROM (SELECT dataset, 1 AS r FROM rel UNION ALL SELECT dataset, 0 FROM other) GROUP BY 1),
-a AS (SELECT d.dataset, count(*) AS queries_written FROM drawn d SEMI JOIN queries q ON q.dataset = d.dataset AND q._id = d.query_id GROUP BY 1), j AS (SELECT dataset, count(*) AS qrels_rows FROM judged GROUP BY 1)
-SELECT dataset, {n_queries} AS queries_requested, coalesce(queries_written, 0) AS queries_written, coalesce(corpus_written, 0) AS corpus_written, CAST(coalesce(rel_docs, 0) AS BIGINT) AS rel_docs, CAST(coalesce(distractors, 0) AS BIGINT) AS distractors, coalesce(qrels_rows, 0) AS qrels_rows, {sampling.SEED} AS seed FROM k FULL JOIN a USING (dataset) FULL JOIN j USING (dataset)""",
-    )
-    def subset_build_info(spark, sf):
-        return sampling.build_info(parts(spark, sf), n_queries)
 
-    @query(
-        f"build_info_json{suffix}",
-        f"""WITH {sub} SELECT dataset, count(*) AS n FROM judged GROUP BY 1""",
-    )
-    def build_info_json(spark, sf):
-        """Sizes written as JSON objects and parsed again."""
-        info = sampling.build_info(parts(spark, sf), n_queries).select(F.to_json(F.struct("*")).alias("j"))
-        return info.select(F.from_json("j", "dataset string, qrels_rows bigint").alias("r")).select("r.dataset", F.col("r.qrels_rows").alias("n")).filter("n > 0")
+@query("subset_corpus", f"WITH {SUB} SELECT dataset, corpus_id, true AS relevant FROM rel UNION ALL SELECT dataset, corpus_id, false FROM other")
+def subset_corpus(spark, sf):
+    return parts(spark, sf)["corpus"]
 
 
-subset_queries("", N_QUERIES, N_DISTRACTORS)
-#: The sizes of the reference.
-subset_queries("_whole", sampling.N_QUERIES, sampling.N_DISTRACTORS)
+@query("subset_qrels", f"WITH {SUB} SELECT dataset, query_id, corpus_id, score FROM judged")
+def subset_qrels(spark, sf):
+    return parts(spark, sf)["qrels"].select("dataset", "query_id", "corpus_id", "score")
+
+
+@query(
+    "subset_build_info",
+    f"""WITH {SUB}, k AS (SELECT dataset, count(*) AS corpus_written, sum(r) AS rel_docs, sum(1 - r) AS distractors FROM (SELECT dataset, 1 AS r FROM rel UNION ALL SELECT dataset, 0 FROM other) GROUP BY 1),
+a AS (SELECT d.dataset, count(*) AS queries_written FROM drawn d SEMI JOIN queries q ON q.dataset = d.dataset AND q._id = d.query_id GROUP BY 1), j AS (SELECT dataset, count(*) AS qrels_rows FROM judged GROUP BY 1)
+SELECT dataset, {sampling.N_QUERIES} AS queries_requested, coalesce(queries_written, 0) AS queries_written, coalesce(corpus_written, 0) AS corpus_written, CAST(coalesce(rel_docs, 0) AS BIGINT) AS rel_docs, CAST(coalesce(distractors, 0) AS BIGINT) AS distractors, coalesce(qrels_rows, 0) AS qrels_rows, {sampling.SEED} AS seed FROM k FULL JOIN a USING (dataset) FULL JOIN j USING (dataset)""",
+)
+def subset_build_info(spark, sf):
+    return sampling.build_info(parts(spark, sf))
+
+
+@query("build_info_json", ORACLES["subset_build_info"])
+def build_info_json(spark, sf):
+    """Sizes written as JSON objects and parsed again."""
+    info = sampling.build_info(parts(spark, sf))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in info.schema)
+    return info.select(F.from_json(F.to_json(F.struct("*")), fields).alias("r")).select("r.*")
 
 
 _W = "JOIN (SELECT DISTINCT dataset, split, chunk, pos, ids FROM chunk_ids) i USING (dataset, split, chunk, pos)"
@@ -208,19 +198,10 @@ def unit_vectors(spark, sf, split: str | None = None) -> DataFrame:
 
 @query(
     "normalised_vectors",
-    f"""SELECT dataset, chunk, pos, ids AS id, list_transform(list_transform(v, lambda x: x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-12)), lambda z: round(z, 6) + 0.0) AS v FROM (SELECT dataset, split, chunk, pos, CAST(vecs AS DOUBLE[]) AS v FROM chunk_vecs WHERE split = 'queries' AND len(vecs) = 64 AND len(list_filter(vecs, lambda x: x IS NULL OR NOT isfinite(x))) = 0) t {_W}""",
-)
-def normalised_vectors(spark, sf):
-    """Query vectors of untagged and tagged chunks at length 1."""
-    return unit_vectors(spark, sf, "queries").drop("split")
-
-
-@query(
-    "normalised_vectors_whole",
     f"""SELECT dataset, split, chunk, pos, ids AS id, list_transform(list_transform(v, lambda x: x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-12)), lambda z: round(z, 6) + 0.0) AS v FROM (SELECT dataset, split, chunk, pos, CAST(vecs AS DOUBLE[]) AS v FROM chunk_vecs WHERE len(vecs) = 64 AND len(list_filter(vecs, lambda x: x IS NULL OR NOT isfinite(x))) = 0) t {_W}""",
 )
-def normalised_vectors_whole(spark, sf):
-    """Query and passage vectors at length 1."""
+def normalised_vectors(spark, sf):
+    """Query and passage vectors of untagged and tagged chunks at length 1."""
     return unit_vectors(spark, sf)
 
 
@@ -238,8 +219,6 @@ def untagged_chunks(spark, sf):
 @query("super_batches", "WITH s AS (SELECT dataset, split, chunk, count(*) AS n FROM chunk_vecs GROUP BY ALL), c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY dataset, split ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s) SELECT dataset, split, CAST(before // 1000 AS BIGINT) AS batch, count(*) AS chunks, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY ALL")
 def super_batches(spark, sf):
     """Consecutive chunks put together by the thousands of rows before them."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("dataset", "split").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     s = chunk_sizes(spark, sf).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
     return s.groupBy("dataset", "split", F.floor(F.col("before") / 1000).alias("batch")).agg(F.count(F.lit(1)).alias("chunks"), F.sum("n").alias("n"))
@@ -271,11 +250,16 @@ def not_yet_embedded(spark, sf):
     return table(spark, sf, "corpus").select("dataset", "_id").distinct().join(done, ["dataset", "_id"], "left_anti")
 
 
-@query("first_vectors", f"SELECT dataset, split, chunk, pos, ids AS id FROM chunk_vecs {_W} WHERE pos < 10")
+@query(
+    "first_vectors",
+    f"SELECT dataset, split, chunk, pos, ids AS id FROM (SELECT dataset, split, chunk, pos FROM (SELECT DISTINCT dataset, split, chunk, pos FROM chunk_vecs) QUALIFY row_number() OVER (PARTITION BY dataset, split ORDER BY chunk, pos) <= {MOST_ROWS}) {_W}",
+)
 def first_vectors(spark, sf):
-    """The head of every chunk, as a row cap gives it."""
+    """The first rows of every dataset and split in the order of chunks and positions, as a row cap gives them."""
+    w = Window.partitionBy("dataset", "split").orderBy("chunk", "pos")
+    v = table(spark, sf, "chunk_vecs").select(*CHUNK_KEYS).distinct().withColumn("r", F.row_number().over(w)).filter(F.col("r") <= MOST_ROWS).drop("r")
     n = table(spark, sf, "chunk_ids").select(*CHUNK_KEYS, F.col("ids").alias("id")).distinct()
-    return table(spark, sf, "chunk_vecs").select(*CHUNK_KEYS).filter("pos < 10").join(n, CHUNK_KEYS)
+    return v.join(n, CHUNK_KEYS)
 
 
 @query(
@@ -301,13 +285,6 @@ def table_counts(spark, sf):
     return out
 
 
-@query("results_text", "SELECT rpad(source, 40, ' ') || ' ' || lpad(CAST(max_repeats AS VARCHAR), 8, ' ') || ' ' || lpad(printf('%.4f', target_share), 9, ' ') AS value FROM mix_targets")
-def results_text(spark, sf):
-    """Rows as lines of a table of fixed width."""
-    t = table(spark, sf, "mix_targets").select(F.col("source").alias("scheme"), F.col("max_repeats").alias("bits_per_vec"), F.col("target_share").alias("share"))
-    return report.fixed_width(t, ["share"])
-
-
 @query("embedded_queries", None)
 def embedded_queries(spark, sf):
     """All passages and queries through the embedding interface, with the deterministic stand-in for a model."""

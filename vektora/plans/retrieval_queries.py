@@ -149,7 +149,14 @@ WITHOUT_TIERS = tuple(s.name for s in schemes.distinct(schemes.registry(DIM))[0]
 query("full_leaderboard", _board_sql(WITHOUT_TIERS) + _BOARD)(board(WITHOUT_TIERS))
 
 
-@query("all_schemes_leaderboard", None)
+_GREEDY_BITS = "SELECT 'greedy_' || budget || 'b' AS scheme, CAST(list_sum(w) AS INTEGER) AS bits_per_vec FROM tiers"
+_NO_TIERS = f"SELECT * FROM (VALUES {', '.join(f'({chr(39)}{s.name}{chr(39)}, {s.bits_per_vec})' for s in schemes.registry(DIM) if s.family != 'tiers')}) b(scheme, bits_per_vec)"
+
+
+@query(
+    "all_schemes_leaderboard",
+    f"WITH RECURSIVE {BASE}, {q.tiers_walk(schemes.BUDGETS)}, {q.union_decoded(chosen(WITHOUT_TIERS, None))[:-1]} UNION ALL {q.union_tiers()}), rnk AS {q.ranked(100)}, {q.quality()}, bits AS ({_NO_TIERS} UNION ALL {_GREEDY_BITS}), res AS (SELECT scheme, bits_per_vec, {_AVG}, count(*) AS n_queries FROM perq JOIN bits USING (scheme) GROUP BY 1, 2)" + _BOARD,
+)
 def all_schemes(spark, sf):
     """Every distinct scheme, tiers included."""
     return board([s.name for s in schemes.distinct(schemes.registry(DIM, stats(spark, sf)))[0]])(spark, sf)
@@ -202,6 +209,15 @@ def macro_rollup(spark, sf):
     return report.macro_rollup(subset_results(spark, sf), ["ndcg10", "recall100"]).select("scheme", "subset", *r6("ndcg10", "recall100"), "n")
 
 
+@query(
+    "results_text",
+    f"{_board_sql(FLAGSHIP)} SELECT rpad(scheme, 40, ' ') || ' ' || lpad(CAST(bits_per_vec AS VARCHAR), 8, ' ') || ' ' || lpad(printf('%.2fx', {32 * DIM} / bits_per_vec), 8, ' ') || ' ' || lpad(printf('%.4f', ndcg10), 9, ' ') || ' ' || lpad(printf('%.4f', recall100), 9, ' ') AS value FROM res",
+)
+def results_text(spark, sf):
+    """Results as lines of a table of fixed width."""
+    return report.fixed_width(leaderboard(spark, sf, FLAGSHIP), ["ndcg10", "recall100"])
+
+
 STEPS = ("cart_int8", "cart_int4", "cart_clip_50pct", "cart_clip_80pct")
 
 
@@ -220,22 +236,17 @@ def _clips(percents) -> list[str]:
     return [f"{p}_clip_{c}pct" for c in percents for p in ("pos", "jac")]
 
 
-def tradeoff_query(name: str, percents) -> None:
-    """Register the table for some clips, with its SQL."""
-    names = _clips(percents)
-
-    @query(
-        name,
-        f"{_board_sql(names)}, p AS (SELECT CAST(regexp_extract(scheme, '([0-9]+)pct', 1) AS INTEGER) AS clip_pct, * FROM res) SELECT x.clip_pct, y.bits_per_vec, round({32 * DIM} / y.bits_per_vec, 6) AS compression_ratio, round(x.ndcg10, 6) AS ndcg10_pos, round(y.ndcg10, 6) AS ndcg10_jac, round(y.ndcg10 - x.ndcg10, 6) + 0.0 AS delta, round(({4 * DIM} - y.bits_per_vec / 8) * {report.FULL_SIZE} / 1e6, 6) AS mb_saved FROM p x JOIN p y USING (clip_pct) WHERE x.scheme LIKE 'pos%' AND y.scheme LIKE 'jac%'",
-    )
-    def tradeoff_table(spark, sf):
-        b = materialize(leaderboard_of(spark, sf, names), "board").df
-        t = report.tradeoff(b.filter("scheme like 'pos%'"), b.filter("scheme like 'jac%'"), "ndcg10", DIM)
-        return t.select("clip_pct", "bits_per_vec", *r6("compression_ratio", "ndcg10_pos", "ndcg10_jac"), (F.round("delta", 6) + 0.0).alias("delta"), *r6("mb_saved"))
+_PERCENTS = _clips(schemes.CLIPS)
 
 
-tradeoff_query("tradeoff_table", (20, 50, 80))
-tradeoff_query("tradeoff_table_whole", schemes.CLIPS)
+@query(
+    "tradeoff_table",
+    f"{_board_sql(_PERCENTS)}, p AS (SELECT CAST(regexp_extract(scheme, '([0-9]+)pct', 1) AS INTEGER) AS clip_pct, * FROM res) SELECT x.clip_pct, y.bits_per_vec, round({32 * DIM} / y.bits_per_vec, 6) AS compression_ratio, round(x.ndcg10, 6) AS ndcg10_pos, round(y.ndcg10, 6) AS ndcg10_jac, round(y.ndcg10 - x.ndcg10, 6) + 0.0 AS delta, round(({4 * DIM} - y.bits_per_vec / 8) * {report.FULL_SIZE} / 1e6, 6) AS mb_saved FROM p x JOIN p y USING (clip_pct) WHERE x.scheme LIKE 'pos%' AND y.scheme LIKE 'jac%'",
+)
+def tradeoff_table(spark, sf):
+    b = materialize(leaderboard_of(spark, sf, _PERCENTS), "board").df
+    t = report.tradeoff(b.filter("scheme like 'pos%'"), b.filter("scheme like 'jac%'"), "ndcg10", DIM)
+    return t.select("clip_pct", "bits_per_vec", *r6("compression_ratio", "ndcg10_pos", "ndcg10_jac"), (F.round("delta", 6) + 0.0).alias("delta"), *r6("mb_saved"))
 
 
 def leaderboard_of(spark: SparkSession, sf: str, names) -> DataFrame:
@@ -286,3 +297,24 @@ def streaming_topk(spark, sf):
     decode = lambda b: b.select(F.lit("float32").alias("scheme"), "id", "v")
     inc.run(spark, f"{base}/in", "id bigint, v array<double>", inc.topk_step(state, searching(spark, sf), 100, decode), f"{base}/checkpoint")
     return state.read().select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    "streaming_schemes",
+    f"WITH {q.UPTO_STATS}, {q.QUERIES}, {q.union_decoded(chosen(FLAGSHIP, None))} SELECT scheme, query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM {q.ranked(100)}",
+)
+def streaming_schemes(spark, sf):
+    """Statistics, then the top-k of several schemes, both grown by super-batches of files."""
+    from vektora.sources import readers
+    from vektora.streaming import incremental as inc
+
+    base = _stream(spark, sf)
+    files = [f"{base}/in/{n}" for n in readers.listing(spark, f"{base}/in") if n.endswith(".parquet")]
+    batches = readers.super_batches([(f, spark.read.parquet(f).count()) for f in files], max(1, embeddings(spark, sf).count() // 3))
+    first = inc.State(spark, f"{base}/statistics", {"dim": DIM})
+    read = lambda paths: spark.read.parquet(*paths)
+    inc.run_super_batches(batches, read, inc.statistics_step(first, DIM), first)
+    stat = calibration.collect(inc.finished_statistics(first, rank=True))
+    second = inc.State(spark, f"{base}/scores", {"k": 100, "schemes": list(FLAGSHIP)})
+    inc.run_super_batches(batches, read, inc.schemes_step(second, searching(spark, sf), 100, DIM, chosen(FLAGSHIP, stat), stat), second)
+    return second.read().select("scheme", "query_id", "doc_id", F.round("score", 6).alias("score"), "rank")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vektora.functions import codecs
 from vektora.functions.vectors import doubles, from_angles, literal, norm, ranges, tails, to_angles
-from vektora.operators import allocation, calibration, schemes
+from vektora.operators import allocation, calibration, schemes, stored
 from vektora.plans import vectors_sql as q
 from vektora.plans.vectors_sql import DIM
 from vektora.session import spread
@@ -157,24 +157,34 @@ _family("jac_clip", lambda n: n.startswith("jac_clip"))
 _family("jac_trunc", lambda n: n.startswith("jac_trunc"))
 
 
-@query("jac_equals_pos", f"WITH {q.UPTO_STATS} SELECT count(*) FILTER (WHERE rank <> pos) AS moved, 0 AS differing FROM stats")
+_PAIRED = [x for x in schemes.registry(DIM) if x.name in {f"{p}_clip_{c}pct" for p in ("jac", "pos") for c in (20, 50, 80)}]
+
+
+@query(
+    "jac_equals_pos",
+    f"WITH {q.UPTO_STATS}, {q.union_decoded(_PAIRED)} SELECT (SELECT count(*) FROM stats WHERE rank <> pos) AS moved, CAST(count(*) AS INTEGER) AS differing FROM dec a JOIN dec b ON a.vec_id = b.vec_id AND a.scheme[5:] = b.scheme[5:] AND a.scheme LIKE 'jac%' AND b.scheme LIKE 'pos%' WHERE list_distance(a.r, b.r) > 1e-9",
+)
 def jac_equals_pos(spark, sf):
     """Angles whose rank isn't their position, and reconstructed rows that differ between the two families."""
     s = stats(spark, sf)
     pairs = {x.name: x for x in schemes.registry(DIM, s)}
     both = [pairs[f"{p}_clip_{c}pct"] for c in (20, 50, 80) for p in ("jac", "pos")]
-    d = schemes.decode_all(embeddings(spark, sf), "vec_id", "v", DIM, both, s).select(F.substring("scheme", 5, 100).alias("c"), "id", F.to_json("v").alias("v"))
-    differing = d.groupBy("c", "id").agg(F.count_distinct("v").alias("n")).filter("n > 1").agg(F.count(F.lit(1)).alias("differing"))
+    d = schemes.decode_all(embeddings(spark, sf), "vec_id", "v", DIM, both, s).select(F.substring("scheme", 5, 100).alias("c"), F.col("scheme").startswith("jac").alias("jac"), "id", "v")
+    pair = d.groupBy("c", "id").agg(F.max(F.when(F.col("jac"), F.col("v"))).alias("x"), F.max(F.when(~F.col("jac"), F.col("v"))).alias("y"))
+    differing = pair.filter(norm(F.zip_with("x", "y", lambda a, b: a - b)) > 1e-9).agg(F.count(F.lit(1)).alias("differing"))
     moved = sum(r != i for i, r in enumerate(s.rank))
     return differing.select(F.lit(moved).cast("bigint").alias("moved"), F.col("differing").cast("int").alias("differing"))
 
 
-WIDTHS = allocation.proportional_bits(DIM - 1, 4 * (DIM - 1))
+WIDTHS_BUDGET = 4 * (DIM - 1)
+WIDTHS = allocation.proportional_bits(DIM - 1, WIDTHS_BUDGET)
+_ROOTS = f"SELECT i - 1 AS pos, sqrt({DIM} - i) * {WIDTHS_BUDGET} / (SELECT sum(sqrt({DIM} - j)) FROM range(1, {DIM}) u(j)) AS share FROM range(1, {DIM}) t(i)"
+_LOGS = f"SELECT pos, l * {WIDTHS_BUDGET} / sum(l) OVER () AS share FROM (SELECT pos, log2(greatest(std_angle, 1e-6)) - min(log2(greatest(std_angle, 1e-6))) OVER () + 0.1 AS l FROM stats)"
 
 
 @query(
     "angle_var_bits",
-    f"WITH {q.UPTO_ANGLES}, w AS (SELECT {WIDTHS} AS w) SELECT vec_id, {R.format('c')} AS angles FROM (SELECT vec_id, list_transform(range(1, {DIM}), lambda i: {q.middle('a[i]', 'w[i]')}) AS c FROM ang, w)",
+    f"WITH {q.UPTO_ANGLES}, {q.proportional(_ROOTS, WIDTHS_BUDGET)}, w AS (SELECT list(bits ORDER BY pos) AS w FROM widths) SELECT vec_id, {R.format('c')} AS angles FROM (SELECT vec_id, list_transform(range(1, {DIM}), lambda i: {q.middle('a[i]', 'w[i]')}) AS c FROM ang, w)",
 )
 def var_bits(spark, sf):
     """Every angle with its own width, in proportion to the coordinates it bears on."""
@@ -182,21 +192,22 @@ def var_bits(spark, sf):
     return a.select("vec_id", rounded(codecs.angle_widths(F.col("a"), TOPS, WIDTHS)).alias("angles"))
 
 
-@query("proportional_bits", f"SELECT CAST(i - 1 AS INTEGER) AS pos, CAST(({WIDTHS})[i] AS INTEGER) AS bits FROM range(1, {DIM}) t(i)")
+@query("proportional_bits", f"WITH {q.proportional(_ROOTS, WIDTHS_BUDGET)} SELECT CAST(pos AS INTEGER) AS pos, bits FROM widths")
 def proportional(spark, sf):
     return spark.createDataFrame(list(enumerate(WIDTHS)), "pos int, bits int")
 
 
-#: Budgets that fit vectors of 64 numbers: 2, 4 and 6 bits an angle.
-SMALL_BUDGETS = (126, 252, 378)
-_LADDER = "(VALUES (0, 2, 1.0 - 1.0 / 16), (2, 4, 1.0 / 16 - 1.0 / 256), (4, 8, 1.0 / 256 - 1.0 / 65536), (8, 16, 1.0 / 65536 - 2.0 ** -20), (16, 32, 2.0 ** -20 - 2.0 ** -46)) l(lo, hi, gain)"
-_STEPS = f"""steps AS (SELECT pos, lo, hi, hi - lo AS cost, sens * ({q.top('pos + 1')}) ** 2 / 12 * gain / (hi - lo) AS worth FROM stats, {_LADDER}),
-seq AS (SELECT *, sum(cost) OVER (ORDER BY worth DESC, pos, lo ROWS UNBOUNDED PRECEDING) AS used FROM steps WHERE worth > 0)"""
+@query("proportional_bits_std", f"WITH {q.UPTO_STATS}, {q.proportional(_LOGS, WIDTHS_BUDGET)} SELECT CAST(pos AS INTEGER) AS pos, bits FROM widths")
+def proportional_std(spark, sf):
+    """The same by the angles' deviations."""
+    rows = sorted(calibration.angle_statistics(embeddings(spark, sf), "v", DIM).select("pos", "std_angle").collect())
+    return spark.createDataFrame(list(enumerate(allocation.proportional_bits(DIM - 1, WIDTHS_BUDGET, [r["std_angle"] for r in rows]))), "pos int, bits int")
 
 
-def _tiers_sql(budget: int) -> str:
-    # the prefix form: exact while every step up to the budget fits, which holds as long as steps cost 2 bits
-    return f"SELECT 'greedy_{budget}b' AS scheme, CAST(pos AS INTEGER) AS pos, CAST(coalesce((SELECT max(hi) FROM seq s WHERE s.pos = t.pos AND used <= {budget}), 0) AS INTEGER) AS bits FROM stats t"
+#: Budgets that fit vectors of 64 numbers: 2, 4 and 6 bits an angle.
+SMALL_BUDGETS = (126, 252, 378)
+_TIERS = f"WITH RECURSIVE {q.UPTO_STATS}, {q.tiers_walk(SMALL_BUDGETS)}"
+_TIER_ROWS = f"rows_ AS (SELECT 'greedy_' || budget || 'b' AS scheme, CAST(i - 1 AS INTEGER) AS pos, CAST(w[i] AS INTEGER) AS bits FROM tiers, range(1, {DIM}) t(i))"
 
 
 def tiers_table(spark, sf) -> DataFrame:
@@ -205,21 +216,17 @@ def tiers_table(spark, sf) -> DataFrame:
     return spark.createDataFrame(rows, "scheme string, pos int, bits int")
 
 
-query("greedy_tiers", f"WITH {q.UPTO_STATS}, {_STEPS} " + " UNION ALL ".join(_tiers_sql(b) for b in SMALL_BUDGETS[:1]))(lambda spark, sf: tiers_table(spark, sf).filter(f"scheme = 'greedy_{SMALL_BUDGETS[0]}b'"))
-
+query("greedy_tiers", f"{_TIERS}, {_TIER_ROWS} SELECT * FROM rows_")(tiers_table)
 
-# every budget, without SQL, as the prefix form isn't exact beyond the first
-query("greedy_tiers_whole", None)(tiers_table)
 
-
-@query("tier_histogram", None)
+@query("tier_histogram", f"{_TIERS}, {_TIER_ROWS} SELECT scheme, bits, count(*) AS angles FROM rows_ GROUP BY ALL")
 def tier_histogram(spark, sf):
     from vektora.operators.report import tier_histogram as histogram
 
     return histogram(tiers_table(spark, sf))
 
 
-@query("greedy_decode", None)
+@query("greedy_decode", f"{_TIERS} SELECT scheme, vec_id, {R.format('r')} AS decoded FROM ({q.union_tiers()})")
 def greedy_decode(spark, sf):
     s = stats(spark, sf)
     chosen = [x for x in schemes.registry(DIM, s, SMALL_BUDGETS) if x.family == "tiers"]
@@ -236,6 +243,34 @@ def tier_decode(spark, sf):
     return schemes.decode_all(embeddings(spark, sf), "vec_id", "v", DIM, [CYCLE], s).select(F.col("id").alias("vec_id"), rounded(F.col("v")).alias("decoded"))
 
 
+_W = "[" + ", ".join(map(str, CYCLE.tiers)) + "]"
+_OF = f"list_transform(list_filter(range(1, {DIM}), lambda i: {_W}[i] = {{b}}), lambda i: {{x}})"
+_CODES = ", ".join(f"{_OF.format(b=b, x='CAST(' + q.code('a[i]', b) + ' AS INTEGER)')} AS codes{b}" for b in (2, 4, 8))
+
+
+@query(
+    "stored_codes",
+    f"WITH {q.UPTO_ANGLES} SELECT vec_id, {_CODES}, {_OF.format(b=16, x='round(' + q.half('a[i]') + ', 6)')} AS halves, {_OF.format(b=32, x='round(CAST(CAST(a[i] AS FLOAT) AS DOUBLE), 6)')} AS floats, CAST(ceil({sum(CYCLE.tiers)} / 8) AS INTEGER) AS packed_bytes FROM ang",
+)
+def stored_codes(spark, sf):
+    """What is stored of each vector by tiers of every kind, and the size of its packed form."""
+    v, t = embeddings(spark, sf), CYCLE.tiers
+    size = stored.pack(v, "vec_id", "v", DIM, t).select("vec_id", F.length("packed").alias("packed_bytes"))
+    r6 = lambda c: F.transform(c, lambda x: F.round(x.cast("double"), 6)).alias(c)
+    return stored.encode(v, "vec_id", "v", DIM, t).join(size, "vec_id").select("vec_id", "codes2", "codes4", "codes8", r6("halves"), r6("floats"), "packed_bytes")
+
+
+@query(
+    "stored_round_trip",
+    f"WITH {q.UPTO_STATS} SELECT vec_id, {R.format('r')} AS decoded FROM (SELECT vec_id, {q.unit('x')} AS r FROM (SELECT vec_id, {q.from_angles('c')} AS x FROM (SELECT vec_id, list_transform(range(1, {DIM}), lambda i: CASE WHEN {_W}[i] = 32 THEN CAST(CAST(a[i] AS FLOAT) AS DOUBLE) ELSE d[i] END) AS c FROM (SELECT vec_id, a, {q.decoded_tiers(_W)} AS d FROM ang, arr))))",
+)
+def stored_round_trip(spark, sf):
+    """The vectors that come back from their packed bits."""
+    v, t = embeddings(spark, sf), CYCLE.tiers
+    back = stored.unpack(stored.pack(v, "vec_id", "v", DIM, t), "vec_id", DIM, t, stats(spark, sf).means)
+    return back.select("vec_id", rounded(F.col("v")).alias("decoded"))
+
+
 @query("float16_round", f"WITH {q.UPTO_ANGLES} SELECT vec_id, list_transform(a, lambda t: {q.half('t')}) AS halves FROM ang")
 def float16(spark, sf):
     return embeddings(spark, sf).select("vec_id", F.transform(to_angles(F.col("v"), DIM), codecs.half).alias("halves"))
@@ -287,11 +322,20 @@ KNOWN_ALIASES = (
 )
 
 
-@query("scheme_registry", f"SELECT scheme, CAST(bits_per_vec AS INTEGER) AS bits_per_vec FROM (VALUES {_values(KNOWN_BITS)}) t(scheme, bits_per_vec)")
+_N = 1536
+_KEPT = "CAST(round_even({n} * (1 - p / 100.0), 0) AS INTEGER)"
+_REGISTRY_SQL = f"""
+SELECT 'float32' AS scheme, {32 * _N} AS bits_per_vec UNION ALL SELECT 'cart_int' || b, b * {_N} FROM (VALUES (8), (4), (2)) t(b) UNION ALL SELECT 'angle_int' || b || '_uniform', b * {_N - 1} FROM (VALUES (8), (4), (2)) t(b)
+UNION ALL SELECT f || '_clip_' || p || 'pct' || z, 8 * {_KEPT.format(n=_N - 1)} FROM (VALUES ('jac', ''), ('pos', ''), ('pos', '_zero')) f(f, z), (VALUES {', '.join(f'({c})' for c in schemes.CLIPS)}) t(p)
+UNION ALL SELECT 'cart_clip_' || p || 'pct' || z, b * {_KEPT.format(n=_N)} FROM (VALUES ('', 8), ('_f32', 32)) f(z, b), (VALUES {', '.join(f'({c})' for c in schemes.CLIPS)}) t(p) WHERE p > 0 OR b = 8
+UNION ALL SELECT 'greedy_' || b || 'b', b FROM (VALUES {', '.join(f'({b})' for b in schemes.BUDGETS)}) t(b)
+UNION ALL SELECT 'jac_trunc_int' || b || '_keep' || p || 'pct', b * CAST(round_even({_N - 1} * (p / 100.0), 0) AS INTEGER) FROM (VALUES (8), (4), (2)) t(b), (VALUES {', '.join(f'({k})' for k in schemes.KEEPS)}) u(p)"""
+
+
+@query("scheme_registry", f"SELECT scheme, CAST(bits_per_vec AS INTEGER) AS bits_per_vec FROM ({_REGISTRY_SQL})")
 def scheme_registry(spark, sf):
-    """Costs of the published schemes at 1,536 numbers."""
-    names = {n for n, _ in KNOWN_BITS}
-    return spark.createDataFrame([(s.name, s.bits_per_vec) for s in _REG if s.name in names], "scheme string, bits_per_vec int")
+    """Costs of all schemes at 1,536 numbers."""
+    return spark.createDataFrame([(s.name, s.bits_per_vec) for s in _REG], "scheme string, bits_per_vec int")
 
 
 @query("alias_table", f"SELECT alias, scheme FROM (VALUES {_values(KNOWN_ALIASES)}) t(alias, scheme)")

@@ -55,6 +55,45 @@ def shifted_values(v: str, bits: int) -> str:
     return f"list_transform({shifted(v, bits)}, lambda q: (q + 0.5) / {s} - 1)"
 
 
+#: What each step of the tiers gains, relative to the range's square / 12.
+LADDER = "(VALUES (0, 2, 1.0 - 1.0 / 16), (2, 4, 1.0 / 16 - 1.0 / 256), (4, 8, 1.0 / 256 - 1.0 / 65536), (8, 16, 1.0 / 65536 - 2.0 ** -20), (16, 32, 2.0 ** -20 - 2.0 ** -46)) l(lo, hi, gain)"
+
+
+def tiers_walk(budgets) -> str:
+    """tiers (budget, w): the tiers' bits after walking down the list of all steps, each taken if it is its angle's next and fits.
+
+    Needs stats, and WITH RECURSIVE."""
+    n = DIM - 1
+    given = ", ".join(f"({b})" for b in budgets)
+    return f"""steps AS (SELECT pos, lo, hi, hi - lo AS cost, sens * ({top('pos + 1')}) ** 2 / 12 * gain / (hi - lo) AS worth FROM stats, {LADDER}),
+listed AS (SELECT *, row_number() OVER (ORDER BY worth DESC, pos, lo) AS r FROM steps WHERE worth > 0),
+walk AS (SELECT 0 AS r, b AS budget, b AS spare, list_transform(range({n}), lambda x: 0) AS w FROM (VALUES {given}) t(b)
+UNION ALL SELECT x.r + 1, budget, CASE WHEN w[pos + 1] = lo AND cost <= spare THEN spare - cost ELSE spare END,
+  CASE WHEN w[pos + 1] = lo AND cost <= spare THEN list_transform(range(1, {n + 1}), lambda i: CASE WHEN i = pos + 1 THEN hi ELSE w[i] END) ELSE w END FROM walk x JOIN listed l ON l.r = x.r + 1),
+tiers AS (SELECT budget, w FROM walk WHERE r = (SELECT max(r) FROM listed))"""
+
+
+def decoded_tiers(w: str = "w") -> str:
+    """Angles a after the tiers of list w, means in scope."""
+    bins = " ".join(f"WHEN {w}[i] = {b} THEN {middle('a[i]', b)}" for b in (2, 4, 8))
+    return f"list_transform(range(1, {DIM}), lambda i: CASE WHEN {w}[i] = 0 THEN means[i] {bins} WHEN {w}[i] = 16 THEN {half('a[i]')} ELSE a[i] END)"
+
+
+def union_tiers() -> str:
+    """SELECT scheme, vec_id, r of every budget's tiers."""
+    return f"SELECT 'greedy_' || budget || 'b' AS scheme, vec_id, {unit('x')} AS r FROM (SELECT budget, vec_id, {from_angles('c')} AS x FROM (SELECT budget, vec_id, {decoded_tiers()} AS c FROM ang, arr, tiers))"
+
+
+def proportional(share: str, budget: int, high: int = 16) -> str:
+    """widths (pos, bits) from a query of (pos, share): whole bits first, then single steps, the farthest from their share first."""
+    return f"""share AS ({share}), whole AS (SELECT pos, share, CAST(least({high}, greatest(0, floor(share))) AS INTEGER) AS b FROM share),
+lack AS (SELECT {budget} - sum(b) AS short FROM whole),
+moves AS (SELECT pos, 1 AS d, round(lv - share, 12) AS far FROM (SELECT pos, share, unnest(range(b, {high})) AS lv FROM whole), lack WHERE short > 0
+  UNION ALL SELECT pos, -1, round(share - lv, 12) FROM (SELECT pos, share, unnest(range(1, b + 1)) AS lv FROM whole), lack WHERE short < 0),
+taken AS (SELECT pos, d FROM moves, lack QUALIFY row_number() OVER (ORDER BY far, pos) <= abs(short)),
+widths AS (SELECT whole.pos, CAST(any_value(b) + coalesce(sum(d), 0) AS INTEGER) AS bits FROM whole LEFT JOIN taken USING (pos) GROUP BY 1)"""
+
+
 def half(x: str) -> str:
     step = f"(2.0 ** (greatest(floor(log2(CASE WHEN {x} = 0 THEN 1 ELSE abs({x}) END)), -14) - 10))"
     return f"(round_even({x} / {step}, 0) * {step})"
@@ -63,9 +102,7 @@ def half(x: str) -> str:
 def decoded_angles(s: Scheme) -> str:
     """Angles of ang (column a), after the scheme, with arr in scope."""
     if s.family == "tiers":
-        w = "[" + ", ".join(map(str, s.tiers)) + "]"
-        bins = " ".join(f"WHEN {w}[i] = {b} THEN {middle('a[i]', b)}" for b in (2, 4, 8))
-        return f"list_transform(range(1, {DIM}), lambda i: CASE WHEN {w}[i] = 0 THEN means[i] {bins} WHEN {w}[i] = 16 THEN {half('a[i]')} ELSE a[i] END)"
+        return decoded_tiers("[" + ", ".join(map(str, s.tiers)) + "]")
     if s.keep is None:
         return f"list_transform(range(1, {DIM}), lambda i: {middle('a[i]', s.bits)})"
     kept = f"ranks[i] < {s.keep}" if s.by == "rank" else f"i <= {s.keep}"
