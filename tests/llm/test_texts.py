@@ -94,6 +94,21 @@ def test_encoding(spark):
     assert len(set(encoding.byte_characters())) == 256
 
 
+@pytest.mark.parametrize("most", [0, 1, 3, 7, 1000])
+def test_truncation(spark, most):
+    texts = ["plain words and more of them", "é😀日本語 mixed 😀😀", "", None, "x" * 50, "😀" * 9]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r for r in encoding.truncate(df, "id", "text", most).collect()}
+    t = encoding.load(open(encoding.tokenizer_path(), encoding="utf-8").read())
+    for i, x in enumerate(texts):
+        ids, r = t.encode(x or "", add_special_tokens=False).ids, got[i]
+        assert (x or "").startswith(r.text) and r.n_tokens <= most
+        assert len(t.encode(r.text, add_special_tokens=False).ids) <= max(most, 0) and (len(ids) > most or r.text == (x or ""))
+        # the next character would take more ids than are left
+        rest = (x or "")[len(r.text) :]
+        assert not rest or len(encoding.decoder(open(encoding.tokenizer_path(), encoding="utf-8").read())(ids[:most]).rstrip("\ufffd")) == len(r.text)
+
+
 def test_calls():
     assert list(encoding.calls(["aa", None, "b" * 9, "c"], 5)) == [["aa", ""], ["b" * 9], ["c"]]
 

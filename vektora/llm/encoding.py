@@ -9,13 +9,15 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vektora.session import spread
 
 #: At most so many characters (or one text) are encoded in one call, which bounds the memory of a task.
 CALL_CHARS = 500_000
+#: Words whose ids a task remembers, and the largest vocabulary file that is broadcast, in characters.
+WORDS_KEPT, MODEL_CHARS = 100_000, 64 << 20
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json", folder: str | None = None) -> str:
@@ -48,9 +50,20 @@ def load(model: str):
 
     t = Tokenizer.from_str(model)
     t.encode_special_tokens = True
+    if hasattr(t.model, "_resize_cache"):
+        t.model._resize_cache(WORDS_KEPT)
     return t
 
 
+def vocabulary(spark: SparkSession, path: str | None):
+    """The broadcast text of a vocabulary file, whose size is checked."""
+    path = path or tokenizer_path()
+    if os.path.getsize(path) > MODEL_CHARS:
+        raise ValueError(f"{path} is too large to be a vocabulary")
+    with open(path, encoding="utf-8") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
 def calls(texts: list[str | None], most: int = CALL_CHARS) -> Iterator[list[str]]:
     """Runs of texts of together at most `most` characters; null counts as empty."""
     run, size = [], 0
@@ -67,8 +80,7 @@ def calls(texts: list[str | None], most: int = CALL_CHARS) -> Iterator[list[str]
 
 def _mapped(records: DataFrame, key: str, text: str, path: str | None, schema: str, columns) -> DataFrame:
     """mapInArrow over (key, text); `columns` turns the encodings of a call into Arrow arrays."""
-    with open(path or tokenizer_path(), encoding="utf-8") as f:
-        model = records.sparkSession.sparkContext.broadcast(f.read())
+    model = vocabulary(records.sparkSession, path)
     rows = spread(records.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")))
 
     def run(batches):
@@ -110,6 +122,30 @@ def count_tokens(records: DataFrame, key: str, text: str, path: str | None = Non
     return _mapped(records, key, text, path, "n_tokens bigint", columns)
 
 
+def truncate(records: DataFrame, key: str, text: str, most: int, path: str | None = None) -> DataFrame:
+    """(key, text, n_tokens): each text up to the end of its `most`-th id, and the ids left; null texts come out empty.
+
+    Texts that fit are unchanged. A character that the cut would split is left out, so that the cut text
+    never holds a damaged character; n_tokens counts the ids of whole characters only."""
+
+    def columns(t, texts):
+        import pyarrow as pa
+
+        cut, left = [], []
+        for text, e in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
+            n = len(e.ids)
+            if n > most:
+                n, spans = most, e.offsets
+                while n and spans[n][0] < spans[n - 1][1]:  # the next id shares its character
+                    n -= 1
+                text = text[: spans[n - 1][1]] if n else ""
+            cut.append(text)
+            left.append(n)
+        return [pa.array(cut, pa.string()), pa.array(left, pa.int32())], ["text", "n_tokens"]
+
+    return _mapped(records, key, text, path, "text string, n_tokens int", columns)
+
+
 def encode_with_offsets(records: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
     """(key, ids, starts, ends): the code points, counted from 0, that each id covers. Ids that share a split character all name it."""
 
@@ -139,8 +175,7 @@ def decoder(model: str):
 
 def decode(encoded: DataFrame, key: str, ids: str = "ids", path: str | None = None) -> DataFrame:
     """(key, text) of every row; null ids give null, no ids the empty text."""
-    with open(path or tokenizer_path(), encoding="utf-8") as f:
-        model = encoded.sparkSession.sparkContext.broadcast(f.read())
+    model = vocabulary(encoded.sparkSession, path)
     rows = encoded.select(F.col(f"`{key}`").alias("key"), F.col(f"`{ids}`").alias("ids"))
 
     def run(batches):

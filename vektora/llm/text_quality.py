@@ -19,6 +19,7 @@ from vektora.session import spread
 
 RULES = Path(__file__).with_name("quality_rules.json")
 KINDS = ("junk", "table", "list")
+COMMON_WORDS = 20_000
 #: Fixed patterns.
 SPACE = r"[\s\p{Z}\p{Cf}]+"
 INTRODUCTION = r"^\s*[^\n.!?:。！？]{1,400}([.!?:]+[\"'”’»)]*[ \t]*\n?|[.!?]+[\"'”’»)]*\s+|。|\n)\s*"
@@ -56,9 +57,12 @@ FEATURES = (
 
 
 def common_sets(common_words: DataFrame) -> dict[str, list[str]]:
-    """The frequent words of each language; the table is small by nature (some dozen words a language)."""
+    """The frequent words of each language, COMMON_WORDS at most over all of them, as they become part of expressions."""
     out: dict[str, list[str]] = {}
-    for r in common_words.filter("lang is not null and word is not null").distinct().collect():
+    rows = common_words.filter("lang is not null and word is not null").distinct().limit(COMMON_WORDS + 1).collect()
+    if len(rows) > COMMON_WORDS:
+        raise ValueError(f"more than {COMMON_WORDS} common words")
+    for r in rows:
         out.setdefault(r["lang"], []).append(r["word"])
     return {k: sorted(v) for k, v in sorted(out.items())}
 
