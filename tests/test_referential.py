@@ -42,6 +42,22 @@ def test_against_all_pairs(spark, match, timed):
     assert sorted(map(tuple, got.collect()), key=str) == brute(kids, pars, match, timed)
 
 
+@pytest.mark.parametrize("rules", [{"k1": a, "k2": b} for a in ("holds", "unmatched", "ignored") for b in ("holds", "unmatched", "ignored")])
+def test_rules_by_column(spark, rules):
+    values = [None, "a", "b"]
+    kids = [(i, x, y) for i, (x, y) in enumerate((x, y) for x in values for y in values)]
+    pars = [("a", "a"), ("b", None), (None, "b")]
+
+    def fails(x, y):
+        null = {rules[c] for c, v in (("k1", x), ("k2", y)) if v is None}
+        if "holds" in null or (x is None and y is None and "unmatched" not in null):
+            return False
+        return "unmatched" in null or not any((x is None or x == p) and (y is None or y == r) for p, r in pars)
+
+    got = orphans(spark.createDataFrame(kids, "id int, k1 string, k2 string"), spark.createDataFrame(pars, "k1 string, k2 string"), {"k1": "k1", "k2": "k2"}, rules)
+    assert sorted(r.id for r in got.collect()) == [i for i, x, y in kids if fails(x, y)]
+
+
 def test_empty_tables_and_report(spark):
     c = spark.createDataFrame([(1, "a", T(0)), (2, None, T(40)), (3, "b", T(40)), (4, "b", None)], "id int, k string, t timestamp")
     none = spark.createDataFrame([], "k string, s timestamp, e timestamp")
@@ -51,6 +67,8 @@ def test_empty_tables_and_report(spark):
     assert orphans(c.limit(0), none, {"k": "k"}).count() == 0
     with pytest.raises(ValueError):
         orphans(c, none, {"k": "k"}, "other")
+    with pytest.raises(ValueError):
+        orphans(c, none, {"k": "k"}, {"k": "other"})
 
 
 def test_presence_merges_reloads(spark):
