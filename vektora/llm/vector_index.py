@@ -24,16 +24,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vektora.operators.scoring import topk
 from vektora.session import Stored, materialize
 
 SAMPLE = 12_000
 #: Rows aimed at per partition, classes of one classifier, and rows from which a partition is cut again.
-ROWS, FANOUT, REFINE = 128, 256, 4096
+ROWS, FANOUT, REFINE = 128, 256, 32_768
 #: Rows stored in the partitions that travel together.
-GROUP = 6144
+GROUP = 24_576
 #: Largest blocks that one task compares: stored rows and searching rows.
-BLOCK, SEARCHERS = 16_384, 49_152
+BLOCK, SEARCHERS = 32_768, 98_304
 CHUNK = 512
+#: Held-out rows whose neighbours are looked up among all rows to choose the margin.
+HELD = 1000
 SLACK = 1e-5
 #: Levels of classifiers beyond which a partition that can't be told apart is only cut into blocks.
 LEVELS = 5
@@ -154,13 +157,18 @@ def train(u: np.ndarray, target: np.ndarray, epochs: int = 40, batch: int = 512,
     return theta[:-1], theta[-1]
 
 
-def fit(sample: np.ndarray, parts: int, recall: float | None, k: int = 10, min_similarity: float | None = None, group: float = 1.0, seed: int = 7) -> Router:
+def held_out(n: int, seed: int = 7) -> np.ndarray:
+    """The fifth of a sample of n rows that isn't trained on."""
+    return np.random.default_rng(seed).permutation(n)[: n // 5]
+
+
+def fit(sample: np.ndarray, parts: int, recall: float | None, k: int = 10, min_similarity: float | None = None, group: float = 1.0, seed: int = 7, partners: tuple[np.ndarray, np.ndarray] | None = None) -> Router:
     """Partition the sample's graph, train the classifier and choose the margin.
 
     A fifth of the sample is held out. With min_similarity the margin finds the stated share of
     partners at exactly that similarity in a random direction, the hardest that count; without, that
-    share of the sample's own nearest neighbours, which lie farther apart than those in the whole
-    collection. recall None: every partition is tried. `group` partitions travel together."""
+    share of `partners`, vectors of held-out rows and of their nearest neighbours in the whole collection,
+    or else of the sample's own nearest neighbours. recall None: every partition is tried. `group` partitions travel together."""
     u = unit(sample)
     dim = u.shape[1]
     parts = max(1, min(parts, len(u) // 8))
@@ -168,7 +176,7 @@ def fit(sample: np.ndarray, parts: int, recall: float | None, k: int = 10, min_s
         return Router(np.zeros((dim, 1), np.float32), np.zeros(1, np.float32), 0.0, 1.0)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(u))
-    held, use = order[: len(u) // 5], order[len(u) // 5 :]
+    held, use = order[: len(u) // 5], order[len(u) // 5 :]  # the former as in held_out
     near, _ = neighbours(u[use], k)
     label = balanced_partition(u[use], near, parts, seed=seed)
     target = np.zeros((len(use), parts))
@@ -188,6 +196,8 @@ def fit(sample: np.ndarray, parts: int, recall: float | None, k: int = 10, min_s
         noise -= np.einsum("ij,ij->i", noise, x)[:, None] * x
         y = min_similarity * x + math.sqrt(1 - min_similarity**2) * unit(noise)
         a, o = router.behind(x), router.behind(y)
+    elif partners is not None:
+        a, o = router.behind(unit(partners[0])), router.behind(unit(partners[1]))
     else:
         s, _ = neighbours(u, min(5, k))
         a, o = router.behind(u[np.repeat(held, s.shape[1])]), router.behind(u[s[held].ravel()])
@@ -248,6 +258,25 @@ class Index:
             t.drop()
 
 
+def _neighbours_in_all(classes: DataFrame, asked: DataFrame, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of `asked` (n, v), a bounded number of rows, and of the k nearest of all classes, one row per pair."""
+    dim = asked.select(F.size("v")).first()[0]
+
+    def units(batches):
+        import pyarrow as pa
+
+        for t in batches:
+            u = unit(matrix(t.column("v"), dim)) if t.num_rows else np.zeros((0, dim))
+            v = pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1, dtype=np.int32) * dim), pa.array(u.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array([""] * len(u), pa.string()), t.column("n"), v], names=["scheme", "id", "v"])
+
+    plain = lambda df: df.select("n", "v").mapInArrow(units, "scheme string, id bigint, v array<double>")
+    near = topk(plain(classes), plain(asked), k + 1).filter("query_id <> doc_id").select("query_id", "doc_id")
+    near = near.join(classes.select(F.col("n").alias("doc_id"), F.col("v").alias("b")), "doc_id").join(asked.select(F.col("n").alias("query_id"), F.col("v").alias("a")), "query_id")
+    got = near.select("a", "b").toArrow()  # at most k + 1 rows per row asked
+    return matrix(got["a"], dim), matrix(got["b"], dim)
+
+
 def _refined(hot: DataFrame, big: DataFrame, model_of: Callable, dim: int, sample: int) -> Stored:
     """Visits of the rows of `hot` (n, v, cell, own) to partitions of their cells.
 
@@ -306,11 +335,16 @@ def build(
     members.drop()
     members = named
     count = classes.df.count()
-    take = classes.df.select("id", "v").withColumn("h", F.xxhash64("id"))
+    take = classes.df.select("id", "n", "v").withColumn("h", F.xxhash64("id"))
     if count > 4 * sample:
         take = take.filter(F.pmod("h", F.lit(1_000_003)) < int(1_000_003 * 1.5 * sample / count))
-    got = take.orderBy("h").limit(sample).select("v").toArrow()
+    got = take.orderBy("h").limit(sample).select("n", "v").toArrow()
     s = matrix(got["v"], dim) if got.num_rows else np.zeros((0, dim))
+    partners = None
+    if recall is not None and min_similarity is None and count > len(s):
+        # the sample's neighbours lie farther apart than those in the whole collection, which the margin is for
+        held = got.take(held_out(len(s))[:HELD].copy())
+        partners = _neighbours_in_all(classes.df, vectors.sparkSession.createDataFrame(held.to_pandas(), "n bigint, v array<float>"))
     tasks = 3 * sc.defaultParallelism
 
     def model_of(vectors: np.ndarray, stored: int) -> Router:
@@ -322,7 +356,7 @@ def build(
     while left > refine and levels < LEVELS:
         levels, left = levels + 1, left / fanout
     recall = recall and recall ** (1 / levels)  # the levels' losses add up
-    router = fit(s, parts, recall, min_similarity=min_similarity, group=max(1.0, min(GROUP / max(1, count / parts), parts / tasks))) if len(s) else Router(np.zeros((dim, 1), np.float32), np.zeros(1, np.float32), 0.0, 1.0)
+    router = fit(s, parts, recall, min_similarity=min_similarity, group=max(1.0, min(GROUP / max(1, count / parts), parts / tasks)), partners=partners) if len(s) else Router(np.zeros((dim, 1), np.float32), np.zeros(1, np.float32), 0.0, 1.0)
     packed = sc.broadcast(router.pack())  # at most FANOUT x (dim + 2) numbers
 
     def route(batches):
