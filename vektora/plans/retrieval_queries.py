@@ -115,7 +115,7 @@ def recall_at_100(spark, sf):
 
 @query(
     "single_truth",
-    f"WITH {BASE}, {q.union_decoded(chosen(['cart_int4', 'angle_int2_uniform'], None))}, rnk AS {q.ranked(10)}, n AS (SELECT count(*) AS n FROM vec) SELECT s.scheme, round(avg(CASE WHEN rank = 1 THEN 1 ELSE 0 END), 6) AS r_at_1, round(avg(CASE WHEN rank <= 10 THEN 1 ELSE 0 END), 6) AS r_at_k, round(avg(coalesce(rank, n.n)), 6) AS mean_rank FROM qry CROSS JOIN (SELECT DISTINCT scheme FROM rnk) s CROSS JOIN n LEFT JOIN rnk r ON r.scheme = s.scheme AND r.query_id = qry.query_id AND r.doc_id = qry.query_id GROUP BY 1",
+    f"WITH {BASE}, {q.union_decoded(chosen(['cart_int4', 'angle_int2_uniform'], None))}, rnk AS {q.ranked(1 << 62)}, n AS (SELECT count(*) AS n FROM vec) SELECT s.scheme, round(avg(CASE WHEN rank = 1 THEN 1 ELSE 0 END), 6) AS r_at_1, round(avg(CASE WHEN rank <= 10 THEN 1 ELSE 0 END), 6) AS r_at_k, round(avg(coalesce(rank, n.n)), 6) AS mean_rank FROM qry CROSS JOIN (SELECT DISTINCT scheme FROM rnk) s CROSS JOIN n LEFT JOIN rnk r ON r.scheme = s.scheme AND r.query_id = qry.query_id AND r.doc_id = qry.query_id GROUP BY 1",
 )
 def single_truth(spark, sf):
     """Each query's truth is the row that it was, ranked among all rows."""
