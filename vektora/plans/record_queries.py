@@ -77,7 +77,8 @@ def qrels_positive(spark, sf):
 
 @query(
     "qrels_last_wins",
-    "SELECT dataset, query_id, corpus_id, score FROM (SELECT DISTINCT * FROM qrels) WHERE score > 0 AND query_id IS NOT NULL AND corpus_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dataset, query_id, corpus_id ORDER BY loaded_at DESC, qrel_id DESC) = 1",
+    "SELECT dataset, query_id, corpus_id, score FROM (SELECT DISTINCT * FROM qrels) WHERE score > 0 AND query_id IS NOT NULL AND corpus_id IS NOT NULL "
+    "QUALIFY row_number() OVER (PARTITION BY dataset, query_id, corpus_id ORDER BY loaded_at DESC, qrel_id DESC) = 1",
 )
 def qrels_last_wins(spark, sf):
     """Of repeated pairs the line loaded last."""
@@ -87,7 +88,9 @@ def qrels_last_wins(spark, sf):
 
 @query(
     "split_fallback",
-    "WITH s AS (SELECT dataset, min(CASE split WHEN 'test' THEN 0 WHEN 'dev' THEN 1 WHEN 'train' THEN 2 END) AS p FROM qrels GROUP BY 1) SELECT dataset, (['test', 'dev', 'train'])[p + 1] AS split, count(DISTINCT qrel_id) AS lines FROM qrels JOIN s USING (dataset) WHERE split = (['test', 'dev', 'train'])[p + 1] GROUP BY ALL",
+    "WITH s AS (SELECT dataset, min(CASE split WHEN 'test' THEN 0 WHEN 'dev' THEN 1 WHEN 'train' THEN 2 END) AS p FROM qrels GROUP BY 1) "
+    "SELECT dataset, (['test', 'dev', 'train'])[p + 1] AS split, count(DISTINCT qrel_id) AS lines FROM qrels JOIN s USING (dataset) "
+    "WHERE split = (['test', 'dev', 'train'])[p + 1] GROUP BY ALL",
 )
 def split_fallback(spark, sf):
     """The first split that each dataset has, and its lines."""
@@ -105,7 +108,8 @@ def queries_with_qrels(spark, sf):
 
 @query(
     "queries_with_relevant_in_corpus",
-    f"WITH {POS} SELECT DISTINCT dataset, _id FROM queries q WHERE EXISTS (SELECT 1 FROM pos p JOIN corpus c ON c.dataset = p.dataset AND c._id = p.corpus_id WHERE p.dataset = q.dataset AND p.query_id = q._id)",
+    f"WITH {POS} SELECT DISTINCT dataset, _id FROM queries q WHERE EXISTS (SELECT 1 FROM pos p JOIN corpus c ON c.dataset = p.dataset AND c._id = p.corpus_id "
+    f"WHERE p.dataset = q.dataset AND p.query_id = q._id)",
 )
 def queries_with_relevant(spark, sf):
     docs = table(spark, sf, "corpus").select("dataset", F.col("_id").alias("corpus_id")).distinct()
@@ -121,7 +125,9 @@ def distractor_pool(spark, sf):
 
 @query(
     "id_set_ops",
-    f"WITH {POS}, r AS (SELECT DISTINCT corpus_id AS id FROM pos), d AS (SELECT DISTINCT _id AS id FROM corpus) SELECT 'union' AS op, count(*) AS n FROM (SELECT id FROM r UNION SELECT id FROM d) UNION ALL SELECT 'intersection', count(*) FROM (SELECT id FROM r INTERSECT SELECT id FROM d) UNION ALL SELECT 'missing', count(*) FROM (SELECT id FROM r EXCEPT SELECT id FROM d)",
+    f"WITH {POS}, r AS (SELECT DISTINCT corpus_id AS id FROM pos), d AS (SELECT DISTINCT _id AS id FROM corpus) SELECT 'union' AS op, count(*) AS n FROM (SELECT id "
+    f"FROM r UNION SELECT id FROM d) UNION ALL SELECT 'intersection', count(*) FROM (SELECT id FROM r INTERSECT SELECT id FROM d) UNION ALL "
+    f"SELECT 'missing', count(*) FROM (SELECT id FROM r EXCEPT SELECT id FROM d)",
 )
 def id_set_ops(spark, sf):
     r, d = positive(spark, sf).select(F.col("corpus_id").alias("id")).distinct(), table(spark, sf, "corpus").select(F.col("_id").alias("id")).distinct()
@@ -216,7 +222,9 @@ def untagged_chunks(spark, sf):
     return table(spark, sf, "chunk_vecs").select("dataset", "split", "chunk").distinct().filter(F.regexp_extract("chunk", r"^[^.]+\.(.+)$", 1) == "")
 
 
-@query("super_batches", "WITH s AS (SELECT dataset, split, chunk, count(*) AS n FROM chunk_vecs GROUP BY ALL), c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY dataset, split ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s) SELECT dataset, split, CAST(before // 1000 AS BIGINT) AS batch, count(*) AS chunks, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY ALL")
+@query("super_batches", "WITH s AS (SELECT dataset, split, chunk, count(*) AS n FROM chunk_vecs "
+    "GROUP BY ALL), c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY dataset, split ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before "
+    "FROM s) SELECT dataset, split, CAST(before // 1000 AS BIGINT) AS batch, count(*) AS chunks, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY ALL")
 def super_batches(spark, sf):
     """Consecutive chunks put together by the thousands of rows before them."""
     w = Window.partitionBy("dataset", "split").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -252,7 +260,8 @@ def not_yet_embedded(spark, sf):
 
 @query(
     "first_vectors",
-    f"SELECT dataset, split, chunk, pos, ids AS id FROM (SELECT dataset, split, chunk, pos FROM (SELECT DISTINCT dataset, split, chunk, pos FROM chunk_vecs) QUALIFY row_number() OVER (PARTITION BY dataset, split ORDER BY chunk, pos) <= {MOST_ROWS}) {_W}",
+    f"SELECT dataset, split, chunk, pos, ids AS id FROM (SELECT dataset, split, chunk, pos FROM (SELECT DISTINCT dataset, split, chunk, pos FROM chunk_vecs) "
+    f"QUALIFY row_number() OVER (PARTITION BY dataset, split ORDER BY chunk, pos) <= {MOST_ROWS}) {_W}",
 )
 def first_vectors(spark, sf):
     """The first rows of every dataset and split in the order of chunks and positions, as a row cap gives them."""
@@ -264,7 +273,8 @@ def first_vectors(spark, sf):
 
 @query(
     "ideal_dcg",
-    f"WITH {POS}, r AS (SELECT dataset || '/' || query_id AS q, score, row_number() OVER (PARTITION BY dataset, query_id ORDER BY score DESC, corpus_id) AS place FROM pos) SELECT q AS query_id, count(*) AS relevant, round(sum(CASE WHEN place <= 10 THEN score / log2(place + 1) END), 6) AS idcg10 FROM r GROUP BY 1",
+    f"WITH {POS}, r AS (SELECT dataset || '/' || query_id AS q, score, row_number() OVER (PARTITION BY dataset, query_id ORDER BY score DESC, corpus_id) AS place "
+    f"FROM pos) SELECT q AS query_id, count(*) AS relevant, round(sum(CASE WHEN place <= 10 THEN score / log2(place + 1) END), 6) AS idcg10 FROM r GROUP BY 1",
 )
 def ideal_dcg(spark, sf):
     q = positive(spark, sf).select(F.concat_ws("/", "dataset", "query_id").alias("query_id"), "corpus_id", "score")
@@ -276,7 +286,8 @@ def grades(spark, sf):
     return positive(spark, sf).groupBy("dataset", "score").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("table_counts", "SELECT 'corpus' AS t, count(*) AS n FROM corpus UNION ALL SELECT 'queries', count(*) FROM queries UNION ALL SELECT 'qrels', count(*) FROM qrels UNION ALL SELECT 'chunk_vecs', count(*) FROM chunk_vecs")
+@query("table_counts", "SELECT 'corpus' AS t, count(*) AS n FROM corpus UNION ALL SELECT 'queries', count(*) FROM queries UNION ALL SELECT 'qrels', count(*) "
+    "FROM qrels UNION ALL SELECT 'chunk_vecs', count(*) FROM chunk_vecs")
 def table_counts(spark, sf):
     out = None
     for t in ("corpus", "queries", "qrels", "chunk_vecs"):

@@ -115,7 +115,10 @@ def recall_at_100(spark, sf):
 
 @query(
     "single_truth",
-    f"WITH {BASE}, {q.union_decoded(chosen(['cart_int4', 'angle_int2_uniform'], None))}, rnk AS {q.ranked(1 << 62)}, n AS (SELECT count(*) AS n FROM vec) SELECT s.scheme, round(avg(CASE WHEN rank = 1 THEN 1 ELSE 0 END), 6) AS r_at_1, round(avg(CASE WHEN rank <= 10 THEN 1 ELSE 0 END), 6) AS r_at_k, round(avg(coalesce(rank, n.n)), 6) AS mean_rank FROM qry CROSS JOIN (SELECT DISTINCT scheme FROM rnk) s CROSS JOIN n LEFT JOIN rnk r ON r.scheme = s.scheme AND r.query_id = qry.query_id AND r.doc_id = qry.query_id GROUP BY 1",
+    f"WITH {BASE}, {q.union_decoded(chosen(['cart_int4', 'angle_int2_uniform'], None))}, rnk AS {q.ranked(1 << 62)}, n AS (SELECT count(*) AS n FROM vec) "
+    f"SELECT s.scheme, round(avg(CASE WHEN rank = 1 THEN 1 ELSE 0 END), 6) AS r_at_1, round(avg(CASE "
+    f"WHEN rank <= 10 THEN 1 ELSE 0 END), 6) AS r_at_k, round(avg(coalesce(rank, n.n)), 6) AS mean_rank FROM qry CROSS JOIN (SELECT DISTINCT scheme "
+    f"FROM rnk) s CROSS JOIN n LEFT JOIN rnk r ON r.scheme = s.scheme AND r.query_id = qry.query_id AND r.doc_id = qry.query_id GROUP BY 1",
 )
 def single_truth(spark, sf):
     """Each query's truth is the row that it was, ranked among all rows."""
@@ -155,7 +158,9 @@ _NO_TIERS = f"SELECT * FROM (VALUES {', '.join(f'({chr(39)}{s.name}{chr(39)}, {s
 
 @query(
     "all_schemes_leaderboard",
-    f"WITH RECURSIVE {BASE}, {q.tiers_walk(schemes.BUDGETS)}, {q.union_decoded(chosen(WITHOUT_TIERS, None))[:-1]} UNION ALL {q.union_tiers()}), rnk AS {q.ranked(100)}, {q.quality()}, bits AS ({_NO_TIERS} UNION ALL {_GREEDY_BITS}), res AS (SELECT scheme, bits_per_vec, {_AVG}, count(*) AS n_queries FROM perq JOIN bits USING (scheme) GROUP BY 1, 2)" + _BOARD,
+    f"WITH RECURSIVE {BASE}, {q.tiers_walk(schemes.BUDGETS)}, {q.union_decoded(chosen(WITHOUT_TIERS, None))[:-1]} "
+    f"UNION ALL {q.union_tiers()}), rnk AS {q.ranked(100)}, {q.quality()}, bits AS ({_NO_TIERS} "
+    f"UNION ALL {_GREEDY_BITS}), res AS (SELECT scheme, bits_per_vec, {_AVG}, count(*) AS n_queries FROM perq JOIN bits USING (scheme) GROUP BY 1, 2)" + _BOARD,
 )
 def all_schemes(spark, sf):
     """Every distinct scheme, tiers included."""
@@ -167,7 +172,9 @@ _SYM = ("cart_int8", "cart_int4")
 
 @query(
     "symmetric_vs_asymmetric",
-    f"WITH {BASE}, {q.union_decoded(chosen(_SYM, None))}, sym AS (SELECT scheme || '_symmetric' AS scheme, vec_id, r FROM dec), sq AS (SELECT scheme, vec_id AS query_id, r AS qv FROM sym WHERE vec_id % {EVERY} = 0), rnk AS (SELECT * FROM {q.ranked(100)} UNION ALL SELECT * FROM {q.ranked(100, 'sym', 'sq', 'd.scheme = q.scheme')}), {q.quality()} SELECT scheme, {', '.join(f'round(avg({m}), 6) AS {m}' for m in METRICS)} FROM perq GROUP BY 1",
+    f"WITH {BASE}, {q.union_decoded(chosen(_SYM, None))}, sym AS (SELECT scheme || '_symmetric' AS scheme, vec_id, r "
+    f"FROM dec), sq AS (SELECT scheme, vec_id AS query_id, r AS qv FROM sym WHERE vec_id % {EVERY} = 0), rnk AS (SELECT * FROM {q.ranked(100)} UNION ALL SELECT * "
+    f"FROM {q.ranked(100, 'sym', 'sq', 'd.scheme = q.scheme')}), {q.quality()} SELECT scheme, {', '.join(f'round(avg({m}), 6) AS {m}' for m in METRICS)} FROM perq GROUP BY 1",
 )
 def symmetric(spark, sf):
     """Float queries against encoded documents, and both encoded."""
@@ -199,19 +206,22 @@ def baseline_by_subset(spark, sf):
     return subset_results(spark, sf, ["float32"]).select("subset", *r6(*METRICS))
 
 
-@query("macro_by_scheme", f"{_SUB} SELECT scheme, bits_per_vec, round(compression_ratio, 6) AS compression_ratio, {', '.join(f'round(avg({m}), 6) AS {m}' for m in METRICS)}, count(*) AS n_subsets FROM full_ GROUP BY scheme, bits_per_vec, compression_ratio")
+@query("macro_by_scheme", f"{_SUB} SELECT scheme, bits_per_vec, round(compression_ratio, 6) AS compression_ratio, "
+    f"{', '.join(f'round(avg({m}), 6) AS {m}' for m in METRICS)}, count(*) AS n_subsets FROM full_ GROUP BY scheme, bits_per_vec, compression_ratio")
 def macro_by_scheme(spark, sf):
     return report.macro(subset_results(spark, sf), METRICS).select("scheme", "bits_per_vec", *r6("compression_ratio", *METRICS), "n_subsets")
 
 
-@query("macro_rollup", f"{_SUB} SELECT scheme, subset, round(avg(ndcg10), 6) AS ndcg10, round(avg(recall100), 6) AS recall100, count(*) AS n FROM full_ GROUP BY ROLLUP (scheme, subset) HAVING scheme IS NOT NULL")
+@query("macro_rollup", f"{_SUB} SELECT scheme, subset, round(avg(ndcg10), 6) AS ndcg10, round(avg(recall100), 6) AS recall100, count(*) AS n FROM full_ "
+    f"GROUP BY ROLLUP (scheme, subset) HAVING scheme IS NOT NULL")
 def macro_rollup(spark, sf):
     return report.macro_rollup(subset_results(spark, sf), ["ndcg10", "recall100"]).select("scheme", "subset", *r6("ndcg10", "recall100"), "n")
 
 
 @query(
     "results_text",
-    f"{_board_sql(FLAGSHIP)} SELECT rpad(scheme, 40, ' ') || ' ' || lpad(CAST(bits_per_vec AS VARCHAR), 8, ' ') || ' ' || lpad(printf('%.2fx', {32 * DIM} / bits_per_vec), 8, ' ') || ' ' || lpad(printf('%.4f', ndcg10), 9, ' ') || ' ' || lpad(printf('%.4f', recall100), 9, ' ') AS value FROM res",
+    f"{_board_sql(FLAGSHIP)} SELECT rpad(scheme, 40, ' ') || ' ' || lpad(CAST(bits_per_vec AS VARCHAR), 8, ' ') || ' ' || lpad(printf('%.2fx', {32 * DIM} / "
+    f"bits_per_vec), 8, ' ') || ' ' || lpad(printf('%.4f', ndcg10), 9, ' ') || ' ' || lpad(printf('%.4f', recall100), 9, ' ') AS value FROM res",
 )
 def results_text(spark, sf):
     """Results as lines of a table of fixed width."""
@@ -223,7 +233,10 @@ STEPS = ("cart_int8", "cart_int4", "cart_clip_50pct", "cart_clip_80pct")
 
 @query(
     "ablation_delta",
-    f"{_board_sql(('float32', *STEPS))}, st AS (SELECT i, r.* FROM res r JOIN (VALUES {', '.join(f'({i}, {chr(39)}{n}{chr(39)})' for i, n in enumerate(STEPS))}) s(i, scheme) USING (scheme)) SELECT CAST(i AS INTEGER) AS step, scheme, bits_per_vec, round(ndcg10 - coalesce(lag(ndcg10) OVER (ORDER BY i), (SELECT ndcg10 FROM res WHERE scheme = 'float32')), 6) AS delta, round(first(bits_per_vec) OVER (ORDER BY i) / bits_per_vec, 6) AS ratio_first, round({32 * DIM} / bits_per_vec, 6) AS ratio_float32 FROM st",
+    f"{_board_sql(('float32', *STEPS))}, st AS (SELECT i, r.* FROM res r "
+    f"JOIN (VALUES {', '.join(f'({i}, {chr(39)}{n}{chr(39)})' for i, n in enumerate(STEPS))}) s(i, scheme) USING (scheme)) "
+    f"SELECT CAST(i AS INTEGER) AS step, scheme, bits_per_vec, round(ndcg10 - coalesce(lag(ndcg10) OVER (ORDER BY i), (SELECT ndcg10 FROM res "
+    f"WHERE scheme = 'float32')), 6) AS delta, round(first(bits_per_vec) OVER (ORDER BY i) / bits_per_vec, 6) AS ratio_first, round({32 * DIM} / bits_per_vec, 6) AS ratio_float32 FROM st",
 )
 def ablation_delta(spark, sf):
     b = materialize(leaderboard(spark, sf, ("float32", *STEPS)).select("scheme", "bits_per_vec", "ndcg10"), "board").df
@@ -241,7 +254,10 @@ _PERCENTS = _clips(schemes.CLIPS)
 
 @query(
     "tradeoff_table",
-    f"{_board_sql(_PERCENTS)}, p AS (SELECT CAST(regexp_extract(scheme, '([0-9]+)pct', 1) AS INTEGER) AS clip_pct, * FROM res) SELECT x.clip_pct, y.bits_per_vec, round({32 * DIM} / y.bits_per_vec, 6) AS compression_ratio, round(x.ndcg10, 6) AS ndcg10_pos, round(y.ndcg10, 6) AS ndcg10_jac, round(y.ndcg10 - x.ndcg10, 6) + 0.0 AS delta, round(({4 * DIM} - y.bits_per_vec / 8) * {report.FULL_SIZE} / 1e6, 6) AS mb_saved FROM p x JOIN p y USING (clip_pct) WHERE x.scheme LIKE 'pos%' AND y.scheme LIKE 'jac%'",
+    f"{_board_sql(_PERCENTS)}, p AS (SELECT CAST(regexp_extract(scheme, '([0-9]+)pct', 1) AS INTEGER) AS clip_pct, * FROM res) "
+    f"SELECT x.clip_pct, y.bits_per_vec, round({32 * DIM} / y.bits_per_vec, 6) AS compression_ratio, round(x.ndcg10, 6) AS ndcg10_pos, round(y.ndcg10, 6) AS "
+    f"ndcg10_jac, round(y.ndcg10 - x.ndcg10, 6) + 0.0 AS delta, round(({4 * DIM} - y.bits_per_vec / 8) * {report.FULL_SIZE} / 1e6, 6) AS mb_saved FROM p x "
+    f"JOIN p y USING (clip_pct) WHERE x.scheme LIKE 'pos%' AND y.scheme LIKE 'jac%'",
 )
 def tradeoff_table(spark, sf):
     b = materialize(leaderboard_of(spark, sf, _PERCENTS), "board").df
@@ -256,7 +272,8 @@ def leaderboard_of(spark: SparkSession, sf: str, names) -> DataFrame:
 
 @query(
     "pareto_frontier",
-    f"{_board_sql(WITHOUT_TIERS)} SELECT scheme, bits_per_vec, round(ndcg10, 6) AS ndcg10 FROM res a WHERE NOT EXISTS (SELECT 1 FROM res b WHERE (b.bits_per_vec <= a.bits_per_vec AND round(b.ndcg10, 9) > round(a.ndcg10, 9)) OR (b.bits_per_vec < a.bits_per_vec AND round(b.ndcg10, 9) >= round(a.ndcg10, 9)))",
+    f"{_board_sql(WITHOUT_TIERS)} SELECT scheme, bits_per_vec, round(ndcg10, 6) AS ndcg10 FROM res a WHERE NOT EXISTS (SELECT 1 FROM res b "
+    f"WHERE (b.bits_per_vec <= a.bits_per_vec AND round(b.ndcg10, 9) > round(a.ndcg10, 9)) OR (b.bits_per_vec < a.bits_per_vec AND round(b.ndcg10, 9) >= round(a.ndcg10, 9)))",
 )
 def pareto_frontier(spark, sf):
     b = leaderboard_of(spark, sf, WITHOUT_TIERS).withColumn("ndcg10", F.round("ndcg10", 9))
@@ -301,7 +318,8 @@ def streaming_topk(spark, sf):
 
 @query(
     "streaming_schemes",
-    f"WITH {q.UPTO_STATS}, {q.QUERIES}, {q.union_decoded(chosen(FLAGSHIP, None))} SELECT scheme, query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM {q.ranked(100)}",
+    f"WITH {q.UPTO_STATS}, {q.QUERIES}, {q.union_decoded(chosen(FLAGSHIP, None))} "
+    f"SELECT scheme, query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM {q.ranked(100)}",
 )
 def streaming_schemes(spark, sf):
     """Statistics, then the top-k of several schemes, both grown by super-batches of files."""

@@ -76,7 +76,8 @@ def sensitivity(spark, sf):
 
 @query(
     "sensitivity_by_label",
-    f"WITH {q.VEC}, {q.TAILS}, {q.ANGLES}, {q.LONG}, b AS (SELECT label, pos, avg(cum) AS m, avg(angle) AS a FROM cum JOIN vec USING (vec_id) GROUP BY ALL) SELECT label, CAST(pos AS INTEGER) AS pos, round(a, 6) AS mean_angle, round(exp(m - max(m) OVER (PARTITION BY label)), 6) AS sens FROM b",
+    f"WITH {q.VEC}, {q.TAILS}, {q.ANGLES}, {q.LONG}, b AS (SELECT label, pos, avg(cum) AS m, avg(angle) AS a FROM cum JOIN vec USING (vec_id) GROUP BY ALL) "
+    f"SELECT label, CAST(pos AS INTEGER) AS pos, round(a, 6) AS mean_angle, round(exp(m - max(m) OVER (PARTITION BY label)), 6) AS sens FROM b",
 )
 def sensitivity_by_label(spark, sf):
     s = calibration.angle_statistics(embeddings(spark, sf), "v", DIM, by=["label"])
@@ -85,7 +86,8 @@ def sensitivity_by_label(spark, sf):
 
 @query(
     "sensitivity_chunk_weighted",
-    f"WITH {q.VEC}, {q.TAILS}, {q.ANGLES}, {q.LONG}, b AS (SELECT pos, avg(m) AS m FROM (SELECT label, pos, avg(cum) AS m FROM cum JOIN vec USING (vec_id) GROUP BY ALL) GROUP BY pos) SELECT CAST(pos AS INTEGER) AS pos, round(exp(m - max(m) OVER ()), 6) AS sens FROM b",
+    f"WITH {q.VEC}, {q.TAILS}, {q.ANGLES}, {q.LONG}, b AS (SELECT pos, avg(m) AS m FROM (SELECT label, pos, avg(cum) AS m FROM cum JOIN vec USING (vec_id) "
+    f"GROUP BY ALL) GROUP BY pos) SELECT CAST(pos AS INTEGER) AS pos, round(exp(m - max(m) OVER ()), 6) AS sens FROM b",
 )
 def sensitivity_chunks(spark, sf):
     return calibration.angle_statistics(embeddings(spark, sf), "v", DIM, chunk="label").select("pos", F.round("sens", DIGITS).alias("sens"))
@@ -127,12 +129,14 @@ for _b in (8, 4, 2):
     _uniform(_b)
 
 
-@query("cart_centred_int8", f"WITH {q.VEC} SELECT vec_id, {R.format(q.unit('x'))} AS decoded FROM (SELECT vec_id, list_transform(v, lambda x: round_even(greatest(-1.0, least(1.0, x)) * 127.5 + 127.5, 0) / 127.5 - 1) AS x FROM vec)")
+@query("cart_centred_int8", f"WITH {q.VEC} SELECT vec_id, {R.format(q.unit('x'))} AS decoded "
+    f"FROM (SELECT vec_id, list_transform(v, lambda x: round_even(greatest(-1.0, least(1.0, x)) * 127.5 + 127.5, 0) / 127.5 - 1) AS x FROM vec)")
 def centred(spark, sf):
     return embeddings(spark, sf).select("vec_id", rounded(codecs.cartesian_centred(F.col("v"), 8)).alias("decoded"))
 
 
-@query("sym_int8", f"WITH {q.VEC} SELECT vec_id, {R.format(q.unit('x'))} AS decoded FROM (SELECT vec_id, list_transform(v, lambda x: round_even(greatest(-1.0, least(1.0, x)) * 127, 0) / 127) AS x FROM vec)")
+@query("sym_int8", f"WITH {q.VEC} SELECT vec_id, {R.format(q.unit('x'))} AS decoded "
+    f"FROM (SELECT vec_id, list_transform(v, lambda x: round_even(greatest(-1.0, least(1.0, x)) * 127, 0) / 127) AS x FROM vec)")
 def sym_int8(spark, sf):
     return embeddings(spark, sf).select("vec_id", rounded(codecs.symmetric_int8(F.col("v"))).alias("decoded"))
 
@@ -162,7 +166,8 @@ _PAIRED = [x for x in schemes.registry(DIM) if x.name in {f"{p}_clip_{c}pct" for
 
 @query(
     "jac_equals_pos",
-    f"WITH {q.UPTO_STATS}, {q.union_decoded(_PAIRED)} SELECT (SELECT count(*) FROM stats WHERE rank <> pos) AS moved, CAST(count(*) AS INTEGER) AS differing FROM dec a JOIN dec b ON a.vec_id = b.vec_id AND a.scheme[5:] = b.scheme[5:] AND a.scheme LIKE 'jac%' AND b.scheme LIKE 'pos%' WHERE list_distance(a.r, b.r) > 1e-9",
+    f"WITH {q.UPTO_STATS}, {q.union_decoded(_PAIRED)} SELECT (SELECT count(*) FROM stats WHERE rank <> pos) AS moved, CAST(count(*) AS INTEGER) AS differing "
+    f"FROM dec a JOIN dec b ON a.vec_id = b.vec_id AND a.scheme[5:] = b.scheme[5:] AND a.scheme LIKE 'jac%' AND b.scheme LIKE 'pos%' WHERE list_distance(a.r, b.r) > 1e-9",
 )
 def jac_equals_pos(spark, sf):
     """Angles whose rank isn't their position, and reconstructed rows that differ between the two families."""
@@ -184,7 +189,8 @@ _LOGS = f"SELECT pos, l * {WIDTHS_BUDGET} / sum(l) OVER () AS share FROM (SELECT
 
 @query(
     "angle_var_bits",
-    f"WITH {q.UPTO_ANGLES}, {q.proportional(_ROOTS, WIDTHS_BUDGET)}, w AS (SELECT list(bits ORDER BY pos) AS w FROM widths) SELECT vec_id, {R.format('c')} AS angles FROM (SELECT vec_id, list_transform(range(1, {DIM}), lambda i: {q.middle('a[i]', 'w[i]')}) AS c FROM ang, w)",
+    f"WITH {q.UPTO_ANGLES}, {q.proportional(_ROOTS, WIDTHS_BUDGET)}, w AS (SELECT list(bits ORDER BY pos) AS w FROM widths) SELECT vec_id, {R.format('c')} AS angles "
+    f"FROM (SELECT vec_id, list_transform(range(1, {DIM}), lambda i: {q.middle('a[i]', 'w[i]')}) AS c FROM ang, w)",
 )
 def var_bits(spark, sf):
     """Every angle with its own width, in proportion to the coordinates it bears on."""
@@ -250,7 +256,8 @@ _CODES = ", ".join(f"{_OF.format(b=b, x='CAST(' + q.code('a[i]', b) + ' AS INTEG
 
 @query(
     "stored_codes",
-    f"WITH {q.UPTO_ANGLES} SELECT vec_id, {_CODES}, {_OF.format(b=16, x='round(' + q.half('a[i]') + ', 6)')} AS halves, {_OF.format(b=32, x='round(CAST(CAST(a[i] AS FLOAT) AS DOUBLE), 6)')} AS floats, CAST(ceil({sum(CYCLE.tiers)} / 8) AS INTEGER) AS packed_bytes FROM ang",
+    f"WITH {q.UPTO_ANGLES} SELECT vec_id, {_CODES}, {_OF.format(b=16, x='round(' + q.half('a[i]') + ', 6)')} AS halves, "
+    f"{_OF.format(b=32, x='round(CAST(CAST(a[i] AS FLOAT) AS DOUBLE), 6)')} AS floats, CAST(ceil({sum(CYCLE.tiers)} / 8) AS INTEGER) AS packed_bytes FROM ang",
 )
 def stored_codes(spark, sf):
     """What is stored of each vector by tiers of every kind, and the size of its packed form."""
@@ -262,7 +269,9 @@ def stored_codes(spark, sf):
 
 @query(
     "stored_round_trip",
-    f"WITH {q.UPTO_STATS} SELECT vec_id, {R.format('r')} AS decoded FROM (SELECT vec_id, {q.unit('x')} AS r FROM (SELECT vec_id, {q.from_angles('c')} AS x FROM (SELECT vec_id, list_transform(range(1, {DIM}), lambda i: CASE WHEN {_W}[i] = 32 THEN CAST(CAST(a[i] AS FLOAT) AS DOUBLE) ELSE d[i] END) AS c FROM (SELECT vec_id, a, {q.decoded_tiers(_W)} AS d FROM ang, arr))))",
+    f"WITH {q.UPTO_STATS} SELECT vec_id, {R.format('r')} AS decoded FROM (SELECT vec_id, {q.unit('x')} AS r FROM (SELECT vec_id, {q.from_angles('c')} AS x "
+    f"FROM (SELECT vec_id, list_transform(range(1, {DIM}), lambda i: CASE WHEN {_W}[i] = 32 THEN CAST(CAST(a[i] AS FLOAT) AS DOUBLE) ELSE d[i] END) AS c "
+    f"FROM (SELECT vec_id, a, {q.decoded_tiers(_W)} AS d FROM ang, arr))))",
 )
 def stored_round_trip(spark, sf):
     """The vectors that come back from their packed bits."""
@@ -343,6 +352,7 @@ def alias_table(spark, sf):
     return spark.createDataFrame(sorted(_ALIAS.items()), "alias string, scheme string")
 
 
-@query("tier_distortion", f"SELECT CAST(bits AS INTEGER) AS bits, round(pi() ** 2 * w * w / 12, 12) AS distortion FROM (VALUES (0, 1.0), (2, 1.0 / 4), (4, 1.0 / 16), (8, 1.0 / 256), (16, 2.0 ** -10), (32, 2.0 ** -23)) t(bits, w)")
+@query("tier_distortion", f"SELECT CAST(bits AS INTEGER) AS bits, round(pi() ** 2 * w * w / 12, 12) AS distortion "
+    f"FROM (VALUES (0, 1.0), (2, 1.0 / 4), (4, 1.0 / 16), (8, 1.0 / 256), (16, 2.0 ** -10), (32, 2.0 ** -23)) t(bits, w)")
 def tier_distortion(spark, sf):
     return spark.createDataFrame([(b, round(allocation.distortion(b, TOPS[0]), 12)) for b in codecs.TIERS], "bits int, distortion double")
