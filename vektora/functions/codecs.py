@@ -123,12 +123,20 @@ def largest_residual(v: Column, stage: Column) -> Column:
     return F.array_max(F.zip_with(v, stage, lambda x, y: F.abs(x - y)))
 
 
-def with_residual(v: Column, stage: Column, largest: Column | None = None) -> Column:
-    """stage plus the int8-coded rest, at length 1; the codes' scale comes from `largest` (null: the vector's own)."""
-    scale = F.greatest(largest_residual(v, stage) if largest is None else largest, F.lit(SMALLEST)) / 127
+def residual_scale(largest: Column) -> Column:
+    """The width of an int8 step that reaches the largest residual."""
+    return F.greatest(largest, F.lit(SMALLEST)) / 127
+
+
+def with_residual(v: Column, stage: Column, largest: Column | None = None, renormalise: bool = True) -> Column:
+    """stage plus the int8-coded rest; the codes' scale comes from `largest` (null: the vector's own).
+
+    At length 1 with renormalise. Where nothing is left to code, stage is the result."""
+    most = largest_residual(v, stage) if largest is None else largest
     coded = F.zip_with(v, stage, lambda x, y: F.struct(y.alias("y"), (x - y).alias("r")))
-    out = F.element_at(F.transform(F.array(scale), lambda s: F.transform(coded, lambda z: z["y"] + _clip(F.rint(z["r"] / s), -127.0, 127.0) * s)), 1)
-    return scaled(out, SMALLEST)
+    out = F.element_at(F.transform(F.array(residual_scale(most)), lambda s: F.transform(coded, lambda z: z["y"] + _clip(F.rint(z["r"] / s), -127.0, 127.0) * s)), 1)
+    out = F.when(most < SMALLEST, stage).otherwise(out)
+    return scaled(out, SMALLEST) if renormalise else out
 
 
 SMALLEST = 1e-12

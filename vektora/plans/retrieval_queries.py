@@ -167,6 +167,16 @@ def all_schemes(spark, sf):
     return board([s.name for s in schemes.distinct(schemes.registry(DIM, stats(spark, sf)))[0]])(spark, sf)
 
 
+_SERIES = "^(greedy|pos_clip|jac_clip|cart_clip|jac_trunc)"
+
+
+@query("series_by_family", f"SELECT * FROM (SELECT regexp_extract(scheme, '{_SERIES}', 1) AS series, scheme, bits_per_vec, ndcg10, recall100 FROM ({ORACLES['all_schemes_leaderboard']})) WHERE series <> ''")
+def series_by_family(spark, sf):
+    """The series of figures: quality by bits within each family of schemes."""
+    r = all_schemes(spark, sf).select(F.regexp_extract("scheme", _SERIES, 1).alias("series"), "scheme", "bits_per_vec", "ndcg10", "recall100")
+    return r.filter("series <> ''")
+
+
 _SYM = ("cart_int8", "cart_int4")
 
 

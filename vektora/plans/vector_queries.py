@@ -288,9 +288,11 @@ def float16(spark, sf):
 _STAGE = f"stage AS (SELECT vec_id, v, {q.unit('x')} AS y FROM (SELECT vec_id, v, {q.shifted_values('v', 4)} AS x FROM vec)), res AS (SELECT vec_id, v, y, list_transform(range(1, {DIM + 1}), lambda i: v[i] - y[i]) AS r FROM stage), big AS (SELECT *, list_max(list_transform(r, lambda x: abs(x))) AS m FROM res)"
 
 
+_CODED = f"list_transform(range(1, {DIM + 1}), lambda i: y[i] + greatest(-127, least(127, round_even(r[i] / s, 0))) * s)"
+
+
 def _residual_sql(largest: str) -> str:
-    coded = f"list_transform(range(1, {DIM + 1}), lambda i: y[i] + greatest(-127, least(127, round_even(r[i] / s, 0))) * s)"
-    return f"WITH {q.VEC}, {_STAGE} SELECT vec_id, {R.format(q.unit('x', '1e-12'))} AS decoded FROM (SELECT vec_id, {coded} AS x FROM (SELECT *, greatest({largest}, 1e-12) / 127 AS s FROM big))"
+    return f"WITH {q.VEC}, {_STAGE} SELECT vec_id, {R.format(q.unit('x', '1e-12'))} AS decoded FROM (SELECT vec_id, {_CODED} AS x FROM (SELECT *, greatest({largest}, 1e-12) / 127 AS s FROM big))"
 
 
 @query("residual_int8_vector", _residual_sql("m"))
@@ -300,12 +302,27 @@ def residual_vector(spark, sf):
     return x.select("vec_id", rounded(codecs.with_residual(F.col("v"), F.col("y"))).alias("decoded"))
 
 
+def _with_largest(spark, sf) -> DataFrame:
+    """Vectors, their int4 stage and the largest residual of all, one number that meets every row."""
+    x = embeddings(spark, sf).withColumn("y", codecs.cartesian(F.col("v"), 4))
+    return x.crossJoin(F.broadcast(x.agg(F.max(codecs.largest_residual(F.col("v"), F.col("y"))).alias("most"))))
+
+
 @query("residual_int8_global", _residual_sql("(SELECT max(m) FROM big)"))
 def residual_global(spark, sf):
-    """The same with one scale: the largest residual of all, one number, meets every row."""
-    x = embeddings(spark, sf).withColumn("y", codecs.cartesian(F.col("v"), 4))
-    most = x.agg(F.max(codecs.largest_residual(F.col("v"), F.col("y"))).alias("most"))
-    return x.crossJoin(F.broadcast(most)).select("vec_id", rounded(codecs.with_residual(F.col("v"), F.col("y"), F.col("most"))).alias("decoded"))
+    """The same with one scale for all."""
+    return _with_largest(spark, sf).select("vec_id", rounded(codecs.with_residual(F.col("v"), F.col("y"), F.col("most"))).alias("decoded"))
+
+
+@query(
+    "residual_int8_raw",
+    f"WITH {q.VEC}, {_STAGE} SELECT vec_id, {R.format('x')} AS decoded, round(s, 9) AS scale FROM (SELECT vec_id, s, {_CODED} AS x FROM (SELECT *, (SELECT max(m) FROM big) / 127 AS s FROM big))",
+)
+def residual_raw(spark, sf):
+    """With one scale, as it comes from the decoder, beside the scale that has to be stored."""
+    x = _with_largest(spark, sf)
+    decoded = codecs.with_residual(F.col("v"), F.col("y"), F.col("most"), renormalise=False)
+    return x.select("vec_id", rounded(decoded).alias("decoded"), F.round(codecs.residual_scale(F.col("most")), 9).alias("scale"))
 
 
 _REG = schemes.registry(1536)
