@@ -13,8 +13,6 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vektora.session import spread
-
 LEVELS = ("section", "paragraph", "line", "sentence", "word", "character")
 #: Fixed patterns: the end of each match ends a unit, so separators stay with the unit before them.
 SEPARATORS = (
@@ -112,4 +110,4 @@ def split_oversized(records: DataFrame, key: str, text: str, limit: int = 2000,
                     names=names,
                 )
 
-    return spread(long).mapInArrow(cut, schema).withColumnRenamed("key", key)
+    return long.mapInArrow(cut, schema).withColumnRenamed("key", key)

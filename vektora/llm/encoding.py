@@ -12,8 +12,6 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vektora.session import spread
-
 #: At most so many characters (or one text) are encoded in one call, which bounds the memory of a task.
 CALL_CHARS = 500_000
 #: Words whose ids a task remembers, and the largest vocabulary file that is broadcast, in characters.
@@ -81,7 +79,7 @@ def calls(texts: list[str | None], most: int = CALL_CHARS) -> Iterator[list[str]
 def _mapped(records: DataFrame, key: str, text: str, path: str | None, schema: str, columns) -> DataFrame:
     """mapInArrow over (key, text); `columns` turns the encodings of a call into Arrow arrays."""
     model = vocabulary(records.sparkSession, path)
-    rows = spread(records.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")))
+    rows = records.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
 
     def run(batches):
         import pyarrow as pa

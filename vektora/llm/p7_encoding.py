@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vektora.llm.encoding import decode, encode, encode_with_offsets, truncate
+from vektora.session import spread
 
 #: Fixed value: the usual limit.
 MOST_TOKENS = 8000
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
 
 
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vektora.llm.encoding import count_tokens
 from vektora.llm.mixing import copies, shares
-from vektora.session import materialize
+from vektora.session import materialize, spread
 
 
 def _targets(spark: SparkSession, sf: str) -> DataFrame:
@@ -16,7 +16,7 @@ def _targets(spark: SparkSession, sf: str) -> DataFrame:
 
 def sized(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, source, n_tokens) of every document with a source."""
-    d = spark.read.parquet(f"{sf}/documents.parquet")
+    d = spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text"))
     d = d.select(F.struct("doc_id", F.lower(F.trim("source")).alias("source")).alias("k"), "text").filter("k.source is not null")
     return materialize(count_tokens(d, "k", "text").select("k.doc_id", "k.source", "n_tokens"), "sized").df
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vektora.llm.text_quality import common_sets, deciding, load_rules, not_prose, statistics
+from vektora.session import spread
 
 STATISTICS = ["n_words", "mean_word_length", "symbol_ratio", "ending_share", "common_share"]
 
 
 def stats(spark: SparkSession, sf: str, only: list[str]) -> DataFrame:
-    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    d = spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang"))
     return statistics(d, "doc_id", "text", "lang", common_sets(spark.read.parquet(f"{sf}/common_words.parquet")), only)
 
 

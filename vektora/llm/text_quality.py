@@ -15,8 +15,6 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vektora.session import spread
-
 RULES = Path(__file__).with_name("quality_rules.json")
 KINDS = ("junk", "table", "list")
 COMMON_WORDS = 20_000
@@ -84,7 +82,7 @@ def statistics(documents: DataFrame, key: str, text: str, lang: str, common: dic
     other = sorted({w for k, v in common.items() if k not in spaced for w in v}, key=lambda w: (-len(w), w))
     words_of = sorted({w for v in spaced.values() for w in v}) or [""]
     particles = "|".join(other) or "(?!)"
-    d = spread(documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("lang"))).withColumn("lang", language(F.col("lang"), known))
+    d = documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("lang")).withColumn("lang", language(F.col("lang"), known))
     # again a generator, so that the beginning is looked for once
     d = d.select("*", F.inline(F.array(F.struct(F.regexp_replace("t", INTRODUCTION, "").alias("rest")))))
     d = d.withColumn("b", F.when(_len(F.trim("rest")) >= F.greatest(F.lit(20.0), _len(F.col("t")) * 0.2), F.col("rest")).otherwise(F.col("t"))).drop("rest")
